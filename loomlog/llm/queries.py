@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import encode, mix
+from . import encode, mix, spans
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -22,8 +22,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix_sources(table(spark, d, "documents"), table(spark, d, "mixtarget"))[1]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.SharedSpans(table(spark, d, "documents")).pairs()
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return spans.SharedSpans(table(spark, d, "documents")).shares()
+
+
+def p10_passages(spark: SparkSession, d: str) -> DataFrame:
+    return spans.SharedSpans(table(spark, d, "documents")).passages.drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
