@@ -5,9 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import encode, mix, spans
+from . import encode, mix, runs, spans
+
+
+def _syslog_runs(spark: SparkSession, d: str, min_count: int) -> DataFrame:
+    lines = table(spark, d, "syslogline")
+    return runs.collapse_runs(lines, ("logsource", "program"), "timestamp", "message", "line_id", "seq", ("logsource", "seq"), min_count)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _syslog_runs(spark, d, 3).select(F.col("first_id").alias("first_line_id"), F.col("last_id").alias("last_line_id"))
+
+
+def p1_runs(spark: SparkSession, d: str) -> DataFrame:
+    return _syslog_runs(spark, d, 1)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +49,7 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_passages)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
