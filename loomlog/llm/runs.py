@@ -34,7 +34,7 @@ VALUES = (
     r"|(?<![\p{L}\d])0x[0-9a-f]+(?![\p{L}\d])"
     rf"|(?<![\p{{L}}\d])[+-]?(?:\d+(?:\.\d+)?(?:ns|us|µs|μs|ms|s|m|h|d))+(?![\p{{L}}\d])"
     rf"|(?<![\p{{L}}\d])[+-]?{_NUMBER} ?{_UNIT}(?![\p{{L}}\d])"
-    r"|(?<![\p{L}\d])(?:(?=[a-f]*\d)[0-9a-f]{4,}|[0-9a-f]{8,})(?![\p{L}\d])"
+    r"|(?<![\p{L}\d])(?:(?=[a-f]*\d)[0-9a-f]{4,}|[0-9a-f]{8,})(?![\p{L}\d]|[.,:]\d)"
     rf"|(?:(?<![\p{{L}}\d])[+-])?{_NUMBER}"
 )
 
@@ -42,7 +42,7 @@ VALUES = (
 def canonical(text) -> F.Column:
     """The text with case folded, spacing collapsed and values replaced by ``#``."""
     folded = F.lower(F.upper(text))
-    return F.regexp_replace(F.trim(F.regexp_replace(folded, r"[\s ]+", " ")), VALUES, "#")
+    return F.regexp_replace(F.trim(F.regexp_replace(folded, r"[\s\u00a0\u2000-\u200a\u202f\u3000]+", " ")), VALUES, "#")
 
 
 def token_similarity(a: str, b: str) -> float:
