@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encode, mix, runs, spans
+from . import encode, heavy, mix, mojibake, runs, spans
 
 
 def _syslog_runs(spark: SparkSession, d: str, min_count: int) -> DataFrame:
@@ -24,6 +24,24 @@ def p1_runs(spark: SparkSession, d: str) -> DataFrame:
     return _syslog_runs(spark, d, 1)
 
 
+def p3_items(spark: SparkSession, d: str) -> DataFrame:
+    return heavy.frequent_items(table(spark, d, "syslogline"), ["message", "program"], 0.005)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_items(spark, d).select("field", "item")
+
+
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "syslogline").select(F.lit("syslogline").alias("tbl"), F.col("line_id").alias("row_id"), F.col("message").alias("text"))
+    raw = table(spark, d, "rawmessage").select(F.lit("rawmessage").alias("tbl"), F.col("raw_id").alias("row_id"), F.col("raw").alias("text"))
+    return mojibake.find_garbled(lines.union(raw))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_restored(spark, d).select("tbl", "row_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"))
 
@@ -49,8 +67,14 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_runs, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_passages)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p3_found, p3_items, p7_found, p7_restored, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_passages)}
+
+
+P3 = """
+WITH v AS (SELECT 'message' AS field, message AS item FROM syslogline UNION ALL SELECT 'program', program FROM syslogline)
+SELECT field, item FROM v WHERE item IS NOT NULL GROUP BY field, item
+HAVING count(*) >= 0.005 * (SELECT count(*) FROM syslogline)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3}
