@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encode, heavy, mix, mojibake, runs, spans
+from . import cutoff, encode, heavy, mix, mojibake, runs, spans
 
 
 def _syslog_runs(spark: SparkSession, d: str, min_count: int) -> DataFrame:
@@ -32,6 +32,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_items(spark, d).select("field", "item")
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.judge_texts(table(spark, d, "syslogline"), cutoff.byte_limits(table(spark, d, "logsource"), table(spark, d, "parsercoldef")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where("is_cut").select("line_id")
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.cut_rates(_judged(spark, d))
+
+
 def p7_restored(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "syslogline").select(F.lit("syslogline").alias("tbl"), F.col("line_id").alias("row_id"), F.col("message").alias("text"))
     raw = table(spark, d, "rawmessage").select(F.lit("rawmessage").alias("tbl"), F.col("raw_id").alias("row_id"), F.col("raw").alias("text"))
@@ -67,7 +79,7 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_runs, p3_found, p3_items, p7_found, p7_restored, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_passages)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p3_found, p3_items, p4_found, p4_rates, p7_found, p7_restored, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_passages)}
 
 
 P3 = """
