@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import timestamps
 from .session import table
 
 
@@ -14,8 +15,13 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("cnt"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = timestamps.capture_times(table(spark, d, "syslogcapture"), table(spark, d, "logsource"), table(spark, d, "timetypeformat"))
+    return found.where("ts_us is not null").select("capture_id", timestamps.utc_text(F.col("ts_us")).alias("ts_utc"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (p6_found,)}
 
 
 def oracle_sql() -> dict[str, str]:
