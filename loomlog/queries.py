@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import timestamps
+from .operators import badrows, timestamps
 from .session import table
 
 
@@ -15,13 +15,33 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("cnt"))
 
 
+def _judged_records(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, list[badrows.Field]]]:
+    schemas = badrows.read_schemas(table(spark, d, "parsercoldef"))
+    return badrows.judge_records(table(spark, d, "logparseerror"), schemas), schemas
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    judged, _ = _judged_records(spark, d)
+    return judged.where("reason is not null and reason <> 'no_schema'").select(F.col("row_id").alias("rec_id"), "reason")
+
+
+def p5_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return badrows.rejects(_judged_records(spark, d)[0])
+
+
+def p5_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Typed rows of the schema with the most types."""
+    judged, schemas = _judged_records(spark, d)
+    return badrows.typed_rows(judged, schemas["gaugeline"], "gaugeline")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     found = timestamps.capture_times(table(spark, d, "syslogcapture"), table(spark, d, "logsource"), table(spark, d, "timetypeformat"))
     return found.where("ts_us is not null").select("capture_id", timestamps.utc_text(F.col("ts_us")).alias("ts_utc"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found,)}
+    return {f.__name__: f for f in (p5_found, p5_rejects, p5_valid, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
