@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import badrows, timestamps
+from .operators import badrows, entries, timestamps
 from .session import table
 
 
@@ -15,6 +15,25 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("cnt"))
 
 
+#: Forms of header times, by an arbitrary id.
+HEADER_TIMES = dict(enumerate(("%b %e %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S.%f%z", "%Y-%m-%dT%H:%M:%S%z", "%d/%b/%Y:%H:%M:%S %z", "%s.%f", "%s", "%m%d %H:%M:%S.%f")))
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    return entries.assemble_entries(entries.parse_lines(table(spark, d, "rawmessage")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _entries(spark, d).select("file_id", "first_line_no", "last_line_no", "level", "component")
+
+
+def p2_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries with their times as UTC instants (wall clocks without a zone are taken as UTC)."""
+    found = _entries(spark, d).withColumn("zone", F.lit("UTC")).withColumn("form", F.lit(None).cast("int")).withColumn("arrived", F.timestamp_micros("received_us"))
+    timed = timestamps.normalise_times(found, HEADER_TIMES, "time", "form", "zone", "arrived")
+    return timed.select("file_id", "first_line_no", "last_line_no", timestamps.utc_text(F.col("ts_us")).alias("ts_utc"), "level", "component", "message", "unparsed", "score")
+
+
 def _judged_records(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, list[badrows.Field]]]:
     schemas = badrows.read_schemas(table(spark, d, "parsercoldef"))
     return badrows.judge_records(table(spark, d, "logparseerror"), schemas), schemas
@@ -41,7 +60,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_rejects, p5_valid, p6_found)}
+    return {f.__name__: f for f in (p2_found, p2_entries, p5_found, p5_rejects, p5_valid, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
