@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +28,8 @@ from ..functions import timefmt
 from ..functions.typespec import FLOAT_PATTERN, INT_PATTERN, TypeSpec, parse_spec
 
 BLOCK = 512
+#: Blocks of so few records are diagnosed one by one, as the columnar path costs more than that.
+LEAF = 8
 _FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
 
 
@@ -127,11 +130,12 @@ class BlockParser:
             "convert_options": csv.ConvertOptions(column_types={n: pa.string() for n in self.names}, strings_can_be_null=False),
         }
 
+    def well_formed(self, records: list[str]) -> np.ndarray:
+        """Whether each record has unbroken quoting and the right number of fields."""
+        return pc.match_substring_regex(pa.array(records, pa.string()), self.pattern).to_numpy(zero_copy_only=False)
+
     def fast(self, records: list[str]) -> list[list[str | None]] | None:
-        """Values of all records of a block, or None if any may be bad."""
-        block = pa.array(records, pa.string())
-        if not pc.all(pc.match_substring_regex(block, self.pattern)).as_py():
-            return None
+        """Values of all records of a well-formed block, or None if any may be bad."""
         data = "\n".join(records).encode() + b"\n"
         options = csv.ReadOptions(column_names=self.names, block_size=max(1 << 16, len(data) + 1), use_threads=False)
         try:
@@ -146,13 +150,24 @@ class BlockParser:
         return [[v or None for v in row] for row in zip(*(c.to_pylist() for c in columns))]
 
     def parse(self, records: list[str]) -> list[tuple[str | None, str | None, list[str | None] | None]]:
-        values = self.fast(records)
-        if values is not None:
-            return [(None, None, v) for v in values]
-        if len(records) == 1:
-            return [diagnose(records[0], self.fields)]
-        half = len(records) // 2
-        return self.parse(records[:half]) + self.parse(records[half:])
+        bad = np.concatenate([[0], np.cumsum(~self.well_formed(records))])  # before each record
+        out: list = [None] * len(records)
+
+        def bisect(start: int, end: int) -> None:
+            if end - start <= LEAF:
+                for i in range(start, end):
+                    out[i] = diagnose(records[i], self.fields)
+                return
+            values = self.fast(records[start:end]) if bad[end] == bad[start] else None
+            if values is not None:
+                out[start:end] = [(None, None, v) for v in values]
+                return
+            middle = (start + end) // 2
+            bisect(start, middle)
+            bisect(middle, end)
+
+        bisect(0, len(records))
+        return out
 
 
 def read_schemas(columns: DataFrame, max_columns: int = 100_000) -> dict[str, list[Field]]:
