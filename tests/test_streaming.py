@@ -99,7 +99,7 @@ def test_stream_query(spark, tmp_path):
     seen = []
     query = run_stream(spark, config, sink=lambda df, i: seen.extend((r["program"], r["n"]) for r in df.collect()), checkpoint=str(tmp_path / "cp"))
     try:
-        lines = [f"<13>Apr 22 02:34:{i:02d} host p{i % 2}[{i}]: message\n\tcontinued" for i in range(10)] + ["garbage"]
+        lines = [f"<13>Apr 22 02:34:{i:02d} host p{i % 2}[{i + 1}]: message\n\tcontinued" for i in range(10)] + ["garbage"]
         send_tcp(port, "\n".join(lines).encode())
         wait_for(lambda: sum(n for _, n in seen) >= 10, 60)
     finally:
