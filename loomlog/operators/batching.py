@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def with_batches(messages: DataFrame, size: int) -> DataFrame:
     """Adds ``_batch``, distinct for every batch of every file.  ``size`` 0: one batch for each file."""
@@ -30,3 +32,15 @@ def flush_sizes(counts: list[int | None], size: int) -> list[int]:
             held -= size
             sent = True
     return out + [held] * bool(held)
+
+
+def global_sequence(df: DataFrame, order: str, out: str = "_seq") -> DataFrame:
+    """Numbers rows from 0 in the order of a column, over a range partitioning: each range counts its rows, and the
+    counts (one row a range) give every range its start.  No task holds more than its range."""
+    ranged = cut(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    placed = ranged.withColumn("__part", part).withColumn("__place", place).drop("__id")
+    counts = placed.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__part", before.alias("__before"))
+    return placed.join(F.broadcast(starts), "__part").withColumn(out, F.col("__before") + F.col("__place")).drop("__part", "__place", "__before")

@@ -39,6 +39,16 @@ def merge_lines(lines: Iterable[str]) -> Iterator[str]:
         yield " ".join(held)
 
 
+def split_text(text: Column, merge: bool = False) -> Column:
+    """Messages of a whole text as an array: priorities stripped, terminators collapsed, continuations joined."""
+    clean = F.regexp_replace(text, r"(^|(?<=[\r\n]))<[0-9]*>", "")
+    if not merge:
+        return F.filter(F.split(clean, r"[\r\n]+"), lambda x: x != "")
+    # possessive, so that a run of blank lines before a continuation isn't split inside
+    parts = F.split(F.regexp_replace(clean, r"^[\r\n]+", ""), r"[\r\n]++(?![ \t])")
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"[\r\n]+(?=[ \t])", " ")), lambda x: x != "")
+
+
 def _assemble(batches: Iterator[pd.DataFrame], merge: bool) -> Iterator[pd.DataFrame]:
     """Messages of the splits in one task.  ``_head``: lines at a split's start that may go on a message before."""
     held: list[str] = []

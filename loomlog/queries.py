@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import engine_queries
 from .operators import badrows, entries, timestamps
 from .session import table
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("cnt"))
+    """Event lines parsed by a grok pattern, then aggregated through the SQL front end."""
+    return engine_queries.grok_roundtrip(spark, d)
 
 
 #: Forms of header times, by an arbitrary id.
@@ -60,8 +62,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_entries, p5_found, p5_rejects, p5_valid, p6_found)}
+    return engine_queries.queries() | {f.__name__: f for f in (p2_found, p2_entries, p5_found, p5_rejects, p5_valid, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return engine_queries.oracle_sql()
