@@ -38,7 +38,8 @@ class Engine:
         rows = self.parse(messages)
         good = parsing.parsed(rows)
         if self.query is None:
-            return good.orderBy("_file", "_seq") if "_file" in good.columns else good.orderBy("_seq"), parsing.rejected(rows)
+            # splits are in order by themselves; only a single printed stream needs sorting
+            return good.orderBy("_file", "_seq") if self.config.output == "-" else good, parsing.rejected(rows)
         return self.query(good, self.config.scope), parsing.rejected(rows)
 
     def write(self, df: DataFrame, ddl: bool) -> None:

@@ -107,12 +107,11 @@ def with_sequence(messages: DataFrame) -> DataFrame:
 def read_messages(spark: SparkSession, path: str | list[str], merge: bool = False) -> DataFrame:
     """``_file``, ``_seq``, ``_raw`` (and ``_block``, ``_pos``) of the messages in text files."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), strip_priority(F.regexp_replace("value", "\r", "")).alias("_line"))
-    made = lines.mapInPandas(lambda batches: _assemble(batches, merge), MESSAGES)
     if merge:
-        made = _stitched(cut(made))
-    else:
-        made = made.drop("_head")
-    return with_sequence(made)
+        return with_sequence(_stitched(cut(lines.mapInPandas(lambda batches: _assemble(batches, True), MESSAGES))))
+    # each line is a message: places follow from the ids that a split's rows get, all in the JVM
+    placed = lines.where("_line <> ''").select("_file", "_block", F.monotonically_increasing_id().alias("_pos"), F.col("_line").alias("_raw"))
+    return with_sequence(placed)
 
 
 def messages_from_lines(spark: SparkSession, lines: Iterable[str], merge: bool = False) -> DataFrame:
