@@ -98,7 +98,7 @@ def _contexts(forms: DataFrame, words) -> DataFrame:
                 raw = tokens_of(text)
                 if not raw:
                     continue
-                partial = raw[-1] == "~"
+                partial = len(raw) > 1 and raw[-2:] == ["#", "~"]
                 if partial:
                     raw.pop()
                 masked = ["^"] * WIDTH + [t if not _is_word(t) or t in fixed else "¤" for t in raw]
@@ -145,10 +145,11 @@ def judge_forms(forms: DataFrame, total: int) -> DataFrame:
     on = F.col("on") - F.when(F.col("dots"), F.col("dotted")).otherwise(0)
     goes_on = (on >= least) & F.col("evidence") & (F.col("partial") | F.col("dots") | (F.col("ends") <= ENDS * all_))
     half_word = (F.col("k") >= least) & (F.col("t") <= ENDS * F.col("k"))
+    half_at_limit = (F.col("k") >= least) & (F.col("t") <= ENDS_AT_LIMIT * F.col("k"))
     unfinished = F.col("partial") & (all_ >= least)
     inside = (goes_on | half_word | unfinished) & ~(F.col("dots") & complete(ENDS))
     known_word = complete(ENDS) & ~half_word
-    return joined.select("form", (inside & ~known_word).alias("cut_inside"), (inside | ~complete(ENDS)).alias("cut_near"), (inside | ~complete(ENDS_AT_LIMIT)).alias("cut_at"))
+    return joined.select("form", (inside & ~known_word).alias("cut_inside"), (inside | ~complete(ENDS)).alias("cut_near"), (inside | half_at_limit | ~complete(ENDS_AT_LIMIT)).alias("cut_at"))
 
 
 def byte_limits(sources: DataFrame, columns: DataFrame, name: str = "message") -> DataFrame:

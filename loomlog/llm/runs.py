@@ -41,7 +41,7 @@ VALUES = (
 
 def canonical(text) -> F.Column:
     """The text with case folded, spacing collapsed and values replaced by ``#``."""
-    folded = F.lower(F.upper(text))
+    folded = F.replace(F.lower(F.upper(text)), F.lit("ß"), F.lit("ss"))
     return F.regexp_replace(F.trim(F.regexp_replace(folded, r"[\s\u00a0\u2000-\u200a\u202f\u3000]+", " ")), VALUES, "#")
 
 
