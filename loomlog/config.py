@@ -37,7 +37,7 @@ def parse_column(text: str) -> ColumnSpec:
         raise ConfigError(str(error)) from None
 
 
-#: Columns used where none are configured: those of syslog lines.
+#: Columns used where none are configured: those of syslog lines (fixed values).
 DEFAULT_COLUMNS = ("+timestamp:ts:%b %e %H:%M:%S", "message:str:65535", "logsource:str:256", "program:str:256", "pid:int")
 
 

@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Codes that name a year or a zone; a format without one gets the default year or the session's zone.
+#: Codes that name a year or a zone (fixed values); a format without one gets the default year or the session's zone.
 YEAR_CODES = ("%y", "%Y", "%G", "%g", "%D", "%x", "%f", "%v", "%c", "%+", "%s")
 ZONE_CODES = ("%Z", "%z", "%:z", "%#z", "%+", "%s")
 

@@ -13,8 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import broadcast_if_bounded, cut
 
+#: Rows about splits are broadcast up to this many, beyond it joined through a shuffle.
+MAX_SPLITS = 500_000
 MESSAGES = "_file string, _block long, _pos long, _raw string, _head boolean"
 
 
@@ -92,16 +94,21 @@ def _stitched(made: DataFrame) -> DataFrame:
     owner = heads.join(last.withColumnRenamed("_block", "b"), "_file").where("b < head").groupBy("_file", "head", "more").agg(F.max(F.struct("b", "_pos")).alias("o"))
     tails = owner.groupBy("_file", F.col("o.b").alias("_block"), F.col("o._pos").alias("_pos")).agg(F.transform(F.sort_array(F.collect_list(F.struct("head", "more"))), lambda x: x["more"]).alias("more"))
     orphans = heads.join(owner.select("_file", "head"), ["_file", "head"], "left_anti").select("_file", F.col("head").alias("_block"), F.lit(-1).cast("long").alias("_pos"), F.col("more").alias("_raw"))
-    joined = made.where("not _head").join(F.broadcast(tails), ["_file", "_block", "_pos"], "left")
-    whole = joined.select("_file", "_block", "_pos", F.concat_ws(" ", F.col("_raw"), F.array_join("more", " ")).alias("x"), "_raw", "more").withColumn("_raw", F.when(F.col("more").isNotNull(), F.col("x")).otherwise(F.col("_raw"))).drop("x", "more")
-    return whole.unionByName(orphans)
+    # few messages have a tail: only their places are broadcast, and only they are joined with texts
+    place = ["_file", "_block", "_pos"]
+    owners = broadcast_if_bounded(tails.select(*place), MAX_SPLITS)
+    plain = made.where("not _head").join(owners, place, "left_anti").select(*place, "_raw")
+    owned = made.where("not _head").join(owners, place, "left_semi").join(tails, place)
+    whole = owned.select(*place, F.concat_ws(" ", F.col("_raw"), F.array_join("more", " ")).alias("_raw"))
+    return plain.unionByName(whole).unionByName(orphans)
 
 
 def with_sequence(messages: DataFrame) -> DataFrame:
     """``_seq``: number of a message in its file, from the counts of its splits (one row a split)."""
-    counts = messages.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_pos").alias("least"))
+    counts = cut(messages.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_pos").alias("least")))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return messages.join(F.broadcast(counts.select("_file", "_block", (before - F.col("least")).alias("before"))), ["_file", "_block"]).withColumn("_seq", F.col("before") + F.col("_pos")).drop("before")
+    starts = counts.select("_file", "_block", (before - F.col("least")).alias("before"))
+    return messages.join(broadcast_if_bounded(starts, MAX_SPLITS), ["_file", "_block"]).withColumn("_seq", F.col("before") + F.col("_pos")).drop("before")
 
 
 def read_messages(spark: SparkSession, path: str | list[str], merge: bool = False) -> DataFrame:

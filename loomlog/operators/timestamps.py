@@ -26,10 +26,14 @@ from ..session import broadcast_if_bounded
 _SHAPES: dict[int, Shapes] = {}
 
 
-def normalise_times(df: DataFrame, formats: dict[int, str], text: str, format_id: str, zone: str, received: str, out: str = "ts_us") -> DataFrame:
-    """``df`` with ``out``: micros since 1970 in UTC, or null.  ``formats``: strftime specifiers by id."""
-    names = [r[0] for r in df.select(zone).where(F.col(zone).isNotNull()).distinct().limit(2_000).collect()]
-    tables = {n: t for n in names if (t := zone_table(n))}
+#: More zone names than this are refused; IANA has about 600.
+MAX_ZONES = 2_000
+
+
+def normalise_times(df: DataFrame, formats: dict[int, str], text: str, format_id: str, zone: str, received: str, zones: list[str], out: str = "ts_us") -> DataFrame:
+    """``df`` with ``out``: micros since 1970 in UTC, or null.  ``formats``: strftime specifiers by id; ``zones``: the
+    zone names that the ``zone`` column may hold."""
+    tables = {n: t for n in zones if (t := zone_table(n))}
     shared = df.sparkSession.sparkContext.broadcast((formats, tables))
     key = hash(tuple(sorted(formats.items())))
 
@@ -44,13 +48,13 @@ def normalise_times(df: DataFrame, formats: dict[int, str], text: str, format_id
             for i, (t, f) in enumerate(zip(texts, ids)):
                 if t and len(t) <= 64:  # no form of a time is longer
                     groups.setdefault((mask_of(t), f), []).append(i)
-            zones = pdf["__zone"].fillna("").to_numpy(dtype=object)
+            at_zone = pdf["__zone"].fillna("").to_numpy(dtype=object)
             received_us = pdf["__received"].fillna(none).to_numpy(np.int64)
             found = np.full(len(pdf), none)
             for (mask, f), rows in groups.items():
                 parser = shapes.parser(mask, f)
                 if parser:
-                    found[rows] = convert([texts[i] for i in rows], parser, zones[rows], received_us[rows], zones_known)
+                    found[rows] = convert([texts[i] for i in rows], parser, at_zone[rows], received_us[rows], zones_known)
             pdf = pdf.drop(columns=["__text", "__format", "__zone", "__received"])
             pdf[out] = pd.array(found, dtype="Int64")
             pdf.loc[found == none, out] = pd.NA
@@ -64,12 +68,15 @@ def normalise_times(df: DataFrame, formats: dict[int, str], text: str, format_id
 
 def capture_times(captures: DataFrame, sources: DataFrame, formats: DataFrame) -> DataFrame:
     """``capture_id`` and ``ts_us`` of every capture.  Formats are few by nature; more than 10,000 are refused."""
-    known = formats.select("format_id", "format_specifier").limit(10_001).collect()
+    known = formats.where("format_id is not null").select("format_id", "format_specifier").limit(10_001).collect()
     if len(known) > 10_000:
         raise ValueError("more than 10,000 time formats")
     zones = sources.groupBy("logsource").agg(F.min("zone").alias("zone"))
+    names = [r[0] for r in zones.where("zone is not null").select("zone").distinct().limit(MAX_ZONES + 1).collect()]
+    if len(names) > MAX_ZONES:
+        raise ValueError(f"more than {MAX_ZONES} zone names")
     rows = captures.select("capture_id", "logsource", "timestamp", "format_id", "received_at").join(broadcast_if_bounded(zones), "logsource", "left")
-    found = normalise_times(rows.drop("logsource"), {r[0]: r[1] for r in known}, "timestamp", "format_id", "zone", "received_at")
+    found = normalise_times(rows.drop("logsource"), {r[0]: r[1] for r in known}, "timestamp", "format_id", "zone", "received_at", names)
     return found.select("capture_id", "ts_us")
 
 

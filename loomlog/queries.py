@@ -32,7 +32,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_entries(spark: SparkSession, d: str) -> DataFrame:
     """Entries with their times as UTC instants (wall clocks without a zone are taken as UTC)."""
     found = _entries(spark, d).withColumn("zone", F.lit("UTC")).withColumn("form", F.lit(None).cast("int")).withColumn("arrived", F.timestamp_micros("received_us"))
-    timed = timestamps.normalise_times(found, HEADER_TIMES, "time", "form", "zone", "arrived")
+    timed = timestamps.normalise_times(found, HEADER_TIMES, "time", "form", "zone", "arrived", ["UTC"])
     return timed.select("file_id", "first_line_no", "last_line_no", timestamps.utc_text(F.col("ts_us")).alias("ts_utc"), "level", "component", "message", "unparsed", "score")
 
 

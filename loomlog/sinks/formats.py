@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..plans.compiler import HIDDEN, plain_double
 
-#: Texts longer than this are TEXT rather than VARCHAR.
+#: Texts of this length on are TEXT rather than VARCHAR (fixed value).
 VARCHAR_LIMIT = 16384
 
 
