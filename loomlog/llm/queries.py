@@ -88,5 +88,35 @@ SELECT field, item FROM v WHERE item IS NOT NULL GROUP BY field, item
 HAVING count(*) >= 0.005 * (SELECT count(*) FROM syslogline)"""
 
 
+_CANON = "replace(replace(replace(lower(upper(message)), 'ß', 'ss'), 'µ', 'μ'), 'ς', 'σ')"
+for _pattern, _text in (
+    (r"[\s\x{a0}]+", " "),
+    (r"^ | $", ""),
+    (r"\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b", "#"),
+    (r"\b0x[0-9a-f]+\b", "#"),
+    (r"\b\d+m\d+s\b", "#"),
+    (r"\b\d+(?:[.,:]\d+)+", "#"),
+    (r"\b(?:[a-f]*\d[0-9a-f]*){1}\b", "#"),
+    (r"\b[a-f]{8,}\b", "#"),
+    (r"\d+", "#"),
+    (r"(^|[^\p{L}#])[+-]#", r"\1#"),
+    (r"# ?(?:ms|s|μs|kib|mib|gib|kb|mb|gb)\b", "#"),
+):
+    _CANON = f"regexp_replace({_CANON}, '{_pattern}', '{_text}', 'g')"
+
+P1 = f"""
+WITH kept AS (SELECT * FROM syslogline WHERE timestamp IS NOT NULL AND logsource IS NOT NULL AND program IS NOT NULL AND message IS NOT NULL
+              QUALIFY row_number() OVER (PARTITION BY logsource, seq ORDER BY line_id) = 1),
+alike AS (SELECT line_id, logsource, program, timestamp AS t, seq, {_CANON} AS m FROM kept),
+marked AS (SELECT *, (m IS DISTINCT FROM lag(m) OVER w)::INT AS fresh FROM alike WINDOW w AS (PARTITION BY logsource, program ORDER BY t, seq, line_id)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY logsource, program ORDER BY t, seq, line_id ROWS UNBOUNDED PRECEDING) AS run FROM marked)
+SELECT first(line_id ORDER BY t, seq, line_id) AS first_line_id, last(line_id ORDER BY t, seq, line_id) AS last_line_id
+FROM numbered GROUP BY logsource, program, run HAVING count(*) >= 3"""
+
+P10 = """
+WITH spans AS (SELECT DISTINCT doc_id, hash(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM spans a JOIN spans b ON a.h = b.h AND a.doc_id < b.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3}
+    return {"p1_found": P1, "p3_found": P3, "p10_found": P10}
