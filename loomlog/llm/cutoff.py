@@ -21,7 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -39,7 +39,8 @@ ENDS, ENDS_AT_LIMIT = 0.08, 0.5
 _UUID = r"(?<![\p{L}\d])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![\p{L}\d])"
 _PART = r"(?<![\p{L}\d])[0-9a-f]{8}-(?:[0-9a-f]{0,4}|(?:[0-9a-f]{4}-){1,3}[0-9a-f]{0,11})$"
 _VALUE = r"(?<![\p{L}\d])(?:(?=[a-f]*\d)[0-9a-f]{4,}|[0-9a-f]{8,})(?![\p{L}\d])|\d+(?:[.,]\d+)*"
-_TOKEN = re.compile(r"#|[^\W\d_]+|\.{3,}|…|[^\w\s]|_")
+# characters beyond ASCII belong to words, as symbols stand inside words that were wrongly decoded
+_TOKEN = re.compile(r"#|\.{3,}|…|(?:[^\W\d_]|[^\x00-\x7f\s…])+|[^\w\s]|_|\d")
 
 
 def form(text) -> F.Column:
@@ -52,7 +53,7 @@ def tokens_of(text: str) -> list[str]:
 
 
 def _is_word(t: str) -> bool:
-    return t[0].isalpha()
+    return any(c.isalpha() for c in t)
 
 
 def neighbours(forms: DataFrame) -> DataFrame:
@@ -70,9 +71,8 @@ def neighbours(forms: DataFrame) -> DataFrame:
     return forms.mapInPandas(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def fixed_words(forms: DataFrame, total: int) -> set[str]:
+def fixed_words(pairs: DataFrame, total: int) -> set[str]:
     """Words of the fixed parts.  Each makes up FREQUENT of all texts at least, which bounds their number."""
-    pairs = cut(neighbours(forms))
     nlogn = F.sum(F.col("n") * F.log("n")).alias("s")
     perplexity = F.exp(F.log("n") - F.col("s") / F.col("n"))
 
@@ -109,31 +109,36 @@ def _contexts(forms: DataFrame, words) -> DataFrame:
                     ends[keys[-1]] += n
                 dots = raw[-1] == "…" and len(raw) > 1
                 last = len(masked) - dots
+                # a last word that isn't known here as such may be part of a free one
                 ctx = masked[last - WIDTH : last]
-                tails.append((text, " ".join(ctx), " ".join(ctx[1:]), " ".join(masked[last - WIDTH : last - 1]), raw[-1 - dots], any(map(_is_word, masked[max(0, last - EVIDENCE) : last])), bool(dots), partial, n))
+                free = [*ctx[:-1], "¤"] if _is_word(ctx[-1]) else ctx
+                tails.append((text, " ".join(ctx), " ".join(free), " ".join(ctx[1:]), " ".join(masked[last - WIDTH : last - 1]), raw[-1 - dots], any(map(_is_word, masked[max(0, last - EVIDENCE) : last])), bool(dots), partial, n))
             yield pd.DataFrame(
-                [("c", None, k, None, None, None, None, None, None, goes_on[k], ends[k]) for k in {**goes_on, **ends}] + [("t", f, c, c3, p, w, ev, d, part, n, 0) for f, c, c3, p, w, ev, d, part, n in tails],
-                columns=["kind", "form", "ctx", "ctx3", "prefix", "piece", "evidence", "dots", "partial", "n", "ends"],
+                [("c", None, k, None, None, None, None, None, None, None, goes_on[k], ends[k]) for k in {**goes_on, **ends}] + [("t", f, c, cf, c3, p, w, ev, d, part, n, 0) for f, c, cf, c3, p, w, ev, d, part, n in tails],
+                columns=["kind", "form", "ctx", "free", "ctx3", "prefix", "piece", "evidence", "dots", "partial", "n", "ends"],
             )
 
-    return forms.mapInPandas(run, "kind string, form string, ctx string, ctx3 string, prefix string, piece string, evidence boolean, dots boolean, partial boolean, n long, ends long")
+    return forms.mapInPandas(run, "kind string, form string, ctx string, free string, ctx3 string, prefix string, piece string, evidence boolean, dots boolean, partial boolean, n long, ends long")
 
 
 def judge_forms(forms: DataFrame, total: int) -> DataFrame:
     """``form`` and its verdicts: ``cut_inside`` (away from any limit), ``cut_near`` and ``cut_at`` a limit."""
-    words = forms.sparkSession.sparkContext.broadcast(fixed_words(forms, total))
+    pairs = cut(neighbours(forms))
+    words = forms.sparkSession.sparkContext.broadcast(fixed_words(pairs, total))
     found = cut(_contexts(forms, words))
     least = max(LEAST, SUPPORT * total)
     context = found.where("kind = 'c'").groupBy("ctx").agg(F.sum("n").alias("on"), F.sum("ends").alias("ends")).where(F.col("on") + F.col("ends") >= least)
     shorter = context.groupBy(F.regexp_replace("ctx", r"^\S+ ", "").alias("ctx3")).agg(F.sum("on").alias("on3"), F.sum("ends").alias("ends3"))
-    tails = found.where("kind = 't'").select("form", "ctx", "ctx3", "prefix", "piece", "evidence", "dots", "partial", "n")
+    as_free = context.select(F.col("ctx").alias("free"), F.col("on").alias("on_f"), F.col("ends").alias("ends_f"))
+    tails = found.where("kind = 't'").select("form", "ctx", "free", "ctx3", "prefix", "piece", "evidence", "dots", "partial", "n")
     # prefix self-join: the word that follows the same WIDTH - 1 tokens elsewhere, longer than the piece
     word = F.element_at(F.split("ctx", " "), -1)
-    follow = context.select(F.regexp_replace("ctx", r" \S+$", "").alias("prefix"), word.alias("word"), (F.col("on") + F.col("ends")).alias("k")).where("word rlike '^\\\\p{L}'")
-    same = tails.where("piece rlike '^\\\\p{L}'").groupBy("prefix", "piece").agg(F.sum("n").alias("t"))
+    follow = context.select(F.regexp_replace("ctx", r" \S+$", "").alias("prefix"), word.alias("word"), (F.col("on") + F.col("ends")).alias("k")).where("word rlike '\\\\p{L}'")
+    same = tails.where("piece rlike '\\\\p{L}'").groupBy("prefix", "piece").agg(F.sum("n").alias("t"))
     longer = same.join(follow, "prefix").where("startswith(word, piece) and word <> piece").groupBy("prefix", "piece").agg(F.max("k").alias("k"), F.first("t").alias("t"))
+    part_names = _part_names(same, pairs, least)
     dotted = tails.where("dots").groupBy("ctx").agg(F.sum("n").alias("dotted"))
-    joined = tails.join(context, "ctx", "left").join(shorter, "ctx3", "left").join(longer, ["prefix", "piece"], "left").join(dotted, "ctx", "left").na.fill(0, ["on", "ends", "on3", "ends3", "k", "t", "dotted"])
+    joined = tails.join(context, "ctx", "left").join(shorter, "ctx3", "left").join(longer, ["prefix", "piece"], "left").join(part_names, ["prefix", "piece"], "left").join(as_free, "free", "left").join(dotted, "ctx", "left").na.fill(False, ["part_name"]).na.fill(0, ["on_f", "ends_f", "on", "ends", "on3", "ends3", "k", "t", "dotted"])
     all_ = F.col("on") + F.col("ends")
 
     def complete(ends) -> F.Column:
@@ -147,11 +152,27 @@ def judge_forms(forms: DataFrame, total: int) -> DataFrame:
     half_word = (F.col("k") >= least) & (F.col("t") <= ENDS * F.col("k"))
     half_at_limit = (F.col("k") >= least) & (F.col("t") <= ENDS_AT_LIMIT * F.col("k"))
     unfinished = F.col("partial") & (all_ >= least)
-    inside = (goes_on | half_word | unfinished) & ~(F.col("dots") & complete(ENDS))
-    known_word = complete(ENDS) & ~half_word
+    free_goes_on = (all_ < least) & (F.col("on_f") >= least) & F.col("evidence") & ~F.col("dots") & (F.col("ends_f") <= ENDS * (F.col("on_f") + F.col("ends_f")))
+    part_word = half_word | (F.col("part_name") & ~F.col("partial"))
+    inside = (goes_on | part_word | unfinished | free_goes_on) & ~(F.col("dots") & complete(ENDS))
+    known_word = complete(ENDS) & ~part_word
     return joined.select("form", (inside & ~known_word).alias("cut_inside"), (inside | ~complete(ENDS)).alias("cut_near"), (inside | half_at_limit | ~complete(ENDS_AT_LIMIT)).alias("cut_at"))
 
 
+def _part_names(same: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """``prefix``, ``piece``, ``part_name``: rare last words that a frequent word of the same place goes on from.
+
+    Words of a place are sorted: those that a piece begins follow it directly, so the next frequent word tells.
+    """
+    counts = pairs.groupBy(F.col("b").alias("piece")).agg(F.sum("n").alias("n"))
+    words = same.join(counts, "piece")
+    frequent = F.col("n") >= 4 * least
+    following = Window.partitionBy("prefix").orderBy("piece").rowsBetween(1, Window.unboundedFollowing)
+    after = F.first(F.when(frequent, F.struct("piece", "n")), ignorenulls=True).over(following)
+    told = words.withColumn("after", after)
+    return told.where(F.startswith(F.col("after.piece"), F.col("piece")) & (F.col("n") <= ENDS * F.col("after.n"))).select("prefix", "piece", F.lit(True).alias("part_name"))
+
+
 def byte_limits(sources: DataFrame, columns: DataFrame, name: str = "message") -> DataFrame:
     """``logsource``, ``max_bytes`` of the named column, from type specs (``str:N``, ``:N``, N 256 by default)."""
     spec = columns.where(F.col("name") == name).select("schema_name", F.col("pv_type").alias("spec"))
