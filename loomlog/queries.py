@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import engine_queries
+from . import engine_queries, problem_sql
 from .operators import badrows, entries, timestamps
 from .session import table
 
@@ -61,35 +61,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where("ts_us is not null").select("capture_id", timestamps.utc_text(F.col("ts_us")).alias("ts_utc"))
 
 
-#: A field of a CSV record; dots don't stop at line breaks here.
-_CSV = r'(?:"(?:[^"]|"")*"|[^",]*)'
-P5 = rf"""
-WITH records AS (SELECT rec_id, schema_name, raw_msg FROM logparseerror WHERE raw_msg IS NOT NULL AND trim(raw_msg, chr(9) || chr(10) || chr(13) || ' ') <> ''),
-wanted AS (SELECT schema_name, count(*) AS n FROM parsercoldef GROUP BY 1),
-split AS (SELECT rec_id, schema_name, regexp_full_match(raw_msg, '(?s){_CSV}(?:,{_CSV})*') AS sound, regexp_extract_all(',' || raw_msg, '(?s),({_CSV})', 1) AS parts FROM records),
-fields AS (SELECT rec_id, schema_name, unnest(parts) AS part, unnest(range(len(parts))) AS col_pos FROM split JOIN wanted USING (schema_name) WHERE sound AND len(parts) = n),
-plain AS (SELECT rec_id, schema_name, col_pos, CASE WHEN part LIKE '"%' THEN replace(part[2:-2], '""', '"') ELSE part END AS v FROM fields),
-judged AS (
-    SELECT rec_id, col_pos, CASE
-        WHEN v = '' THEN CASE WHEN required THEN 'missing_value' END
-        WHEN pv_type LIKE 'str%' AND strlen(v) > CASE WHEN pv_type = 'str' THEN 256 ELSE split_part(pv_type, ':', 2)::INT END THEN 'invalid_value'
-        WHEN pv_type IN ('int', 'long') AND (NOT regexp_full_match(v, '[+-]?[0-9]+') OR try_cast(v AS BIGINT) IS NULL) THEN 'invalid_value'
-        WHEN pv_type IN ('float', 'double') AND NOT regexp_full_match(v, '(?i)[+-]?(?:inf|infinity|nan|(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:e[+-]?[0-9]+)?)') THEN 'invalid_value'
-        WHEN pv_type = 'bool' AND lower(v) NOT IN ('true', 'false') THEN 'invalid_value'
-        WHEN pv_type = 'ts:%b %e %H:%M:%S' AND (NOT regexp_full_match(v, '[A-Za-z]{{3}} ( ?[0-9]|[0-9]{{2}}) [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') OR try_strptime('2000 ' || v, '%Y %b %d %H:%M:%S') IS NULL) THEN 'invalid_value'
-        WHEN pv_type = 'ts:%Y-%m-%dT%H:%M:%S' AND (NOT regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') OR try_strptime(v, '%Y-%m-%dT%H:%M:%S') IS NULL) THEN 'invalid_value'
-        WHEN pv_type LIKE 'ts:%z' AND (NOT regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}\.[0-9]{{3}}[+-][0-9]{{2}}:?[0-9]{{2}}') OR try_strptime(v[:19], '%Y-%m-%dT%H:%M:%S') IS NULL) THEN 'invalid_value'
-    END AS reason
-    FROM plain JOIN parsercoldef USING (schema_name, col_pos)
-)
-SELECT rec_id, 'quoting' AS reason FROM split JOIN wanted USING (schema_name) WHERE NOT sound
-UNION ALL SELECT rec_id, 'column_count' FROM split JOIN wanted USING (schema_name) WHERE sound AND len(parts) <> n
-UNION ALL SELECT rec_id, first(reason ORDER BY col_pos) FROM judged WHERE reason IS NOT NULL GROUP BY rec_id"""
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return engine_queries.queries() | {f.__name__: f for f in (p2_found, p2_entries, p5_found, p5_rejects, p5_valid, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return engine_queries.oracle_sql() | {"p5_found": P5}
+    return engine_queries.oracle_sql() | problem_sql.ORACLES

@@ -277,3 +277,41 @@ def test_sinks(spark, rows, tmp_path):
     assert sqlite3.connect(base).execute("select count(*), sum(a) from t").fetchone() == (2, 3)
     csv_time = formats.csv_lines(rows.orderBy("_seq").limit(1).select("timestamp")).first()[0]
     assert csv_time in ("2022-04-22 02:34:54 +00:00",)
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import io
+    import sys
+
+    from loomlog.__main__ import main
+
+    path = tmp_path / "in.log"
+    path.write_bytes(b"\n".join(line.encode() for line in SYSLOG) + b"\nApr 22 05:00:00 hosta x[7]: bad \xff byte\n\nnot a log line\n")
+    assert main(["-i", str(path), "-f", "sql", "--output-add-ddl", "--output-table-name", "t", "--default-year", "2022", "-q", "select timestamp, program, message from SYSLOGLINE where pid < 105 order by 1"]) == 0
+    out = capsys.readouterr().out
+    assert out.startswith("CREATE TABLE t (\n    timestamp TIMESTAMP,\n    program VARCHAR(256),\n    message TEXT\n);\nINSERT INTO t (timestamp, program, message)\n VALUES \n")
+    assert "'bad � byte'" in out and out.count("\n(") == 4
+    monkeypatch.setattr(sys, "stdin", io.StringIO("\n".join(SYSLOG)))
+    assert main(["--default-year", "2022", "--scope", "global", "-q", "select program, count(*) as n from x group by 1 order by 1"]) == 0
+    assert capsys.readouterr().out == "login,2\nsyslogd,3\n"
+    assert main(["--grok-list-default-patterns"]) == 0
+    assert "SYSLOGLINE %{SYSLOGBASE} %{GREEDYDATA:message}" in capsys.readouterr().out
+    with pytest.raises(SqlError):
+        main(["-i", str(path), "-q", "select nope from x"])
+    with pytest.raises(grok.GrokError):
+        main(["-i", str(path), "-g", "NOPE"])
+
+
+def test_patterns_file(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("KV %{WORD:key}=%{NUMBER:value}\n")
+    config = EngineConfig(grok_pattern="KV", grok_patterns_file=str(tmp_path / "p.txt"), columns=(parse_column("+key"), parse_column("value:float")))
+    result, rejected = prepare(config).run(framing.messages_from_lines(spark, ["a=1", "b=x", "c=2.5 "]))
+    assert sorted((r["key"], r["value"]) for r in result.collect()) == [("a", 1.0), ("c", 2.5)]
+    assert [r["raw_msg"] for r in rejected.collect()] == ["b=x"]
+
+
+def test_separator_in_messages(spark):
+    g = grok.expand("%{WORD:a} %{DATA:b}$", grok.library())
+    sep = parsing.SEPARATOR
+    rows = parsing.parse_messages(framing.messages_from_lines(spark, [f"x 1{sep}2", "y 3", sep]), g, (parse_column("+a"), parse_column("b")))
+    assert sorted((r["a"] or "", r["b"] or "", r["_error"] or "") for r in rows.collect()) == [("", "", "pattern did not match"), ("x", f"1{sep}2", ""), ("y", "3", "")]
