@@ -15,10 +15,8 @@ an empty result.  Rows with the same document id are separate documents that sha
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -138,10 +136,10 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: float | None
     copies = F.greatest(F.lit(0), F.least(F.col("cap"), F.floor(F.col("rate") + F.col("u") + offset))).cast("int")
     chosen = rated.withColumn("copies", copies)
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").cast("long").alias("mixed_docs"), F.max("copies").alias("most_copies"), F.sum("n_tokens").alias("pool_tokens"), F.count("*").alias("pool_docs"))
-    all_tokens = used.agg(F.sum("mixed_tokens").alias("all_tokens"))
+    all_tokens = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))  # over one row a source
     report = (
         wanted.join(used, "source", "left")
-        .join(F.broadcast(all_tokens))
+        .withColumn("all_tokens", all_tokens)
         .select(
             "source", "target_share", "max_repeats",
             F.when(F.col("pool_tokens").isNotNull(), F.col("target_share") / F.lit(share_sum or 1.0)).alias("share_of_present"),

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Encodings by their Python names: those text was wrongly read as, and those it was written in.
 READ_AS = ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "cp1253", "koi8-r", "cp866", "cp1254", "cp1257")
 WRITTEN_IN = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "koi8-r", "cp866", "iso8859-2", "iso8859-5", "iso8859-7", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp852", "gbk", "gb18030", "shift_jis", "euc_jp", "big5", "euc_kr")
@@ -151,12 +153,12 @@ def garblings(word: str) -> dict[str, str]:
 
 
 def run_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """``run``, ``n`` of all runs beyond ASCII in the corpus that are frequent enough, with ``total``."""
+    """``run``, ``n`` of all runs beyond ASCII in the corpus that are frequent enough."""
     some = texts.where(F.octet_length(text) != F.length(text))
     runs = some.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(RUN), F.lit(0))).alias("run"))
-    counts = runs.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
-    total = runs.agg(F.count("*").alias("total"))
-    return counts.join(F.broadcast(total)).where(F.col("n") >= F.col("total") * LEAST_SHARE).select("run", "n")
+    counts = cut(runs.groupBy("run").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") >= max(LEAST_COUNT, LEAST_SHARE * total))
 
 
 class Patterns:
