@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.timeshapes import Shapes, convert, mask_of, zone_table
+from ..functions.timeshapes import Shapes, convert, mask_of, tzdata_version, zone_table
 from ..session import broadcast_if_bounded
 
 _SHAPES: dict[int, Shapes] = {}
@@ -80,6 +80,15 @@ def capture_times(captures: DataFrame, sources: DataFrame, formats: DataFrame) -
     return found.select("capture_id", "ts_us")
 
 
+def zone_transitions(sources: DataFrame) -> DataFrame:
+    """``zone``, ``from_second`` (UTC, null before the first change), ``offset_s`` and ``tzdata`` of the sources' zones: the
+    tables that wall-clock times are converted by, with the version of the data they come from."""
+    names = [r[0] for r in sources.where("zone is not null").select("zone").distinct().limit(MAX_ZONES).collect()]
+    least = np.iinfo(np.int64).min
+    rows = [(n, None if s == least else s, o, tzdata_version()) for n in sorted(names) if (t := zone_table(n)) for s, o in zip(t.starts.tolist(), t.offsets.tolist())]
+    return sources.sparkSession.createDataFrame(rows, "zone string, from_second long, offset_s long, tzdata string")
+
+
 def utc_text(micros) -> F.Column:
     """``yyyy-MM-ddTHH:mm:ss.ffffffZ`` of micros since 1970; the session zone plays no part."""
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(micros / F.lit(86_400_000_000)).cast("int"))

@@ -61,8 +61,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where("ts_us is not null").select("capture_id", timestamps.utc_text(F.col("ts_us")).alias("ts_utc"))
 
 
+def p6_zones(spark: SparkSession, d: str) -> DataFrame:
+    return timestamps.zone_transitions(table(spark, d, "logsource"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return engine_queries.queries() | {f.__name__: f for f in (p2_found, p2_entries, p5_found, p5_rejects, p5_valid, p6_found)}
+    return engine_queries.queries() | {f.__name__: f for f in (p2_found, p2_entries, p5_found, p5_rejects, p5_valid, p6_found, p6_zones)}
 
 
 def oracle_sql() -> dict[str, str]:
