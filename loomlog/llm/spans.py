@@ -8,8 +8,10 @@ over the second text's positions, again and again until no anchor is left.  Chai
 which gives fuzzy passages (with their share of equal code points) and the exact spans inside them.
 
 Exact copies of a text stand for one class: seeds, anchors and chains are those of the class's lowest id, and members
-are added at the end.  Hash groups with more than ``hot`` texts are not paired by k-mers: their texts are keyed
-by whole windows of ``min_length`` around the seed, so that only texts that share a full span meet.
+are added at the end.  For pairs and shares, hash groups with more than ``hot`` texts are not paired by k-mers: their
+texts are keyed by whole windows of ``min_length`` around the seed, so that only texts that share a full span meet.
+Passages are chained over the seeds of all groups, whatever their size: texts with the same seeds at the same
+distances are kin, each two sets of kin are chained once, and the chains are moved to the places of each member.
 
 Defined cases: null, empty and short texts have no span; a text shared with itself is no case; rows that
 repeat a document id are pieces of one document; positions are code points from 0; columns other than id and text play no part.
@@ -18,6 +20,7 @@ repeat a document id are pieces of one document; positions are code points from
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -224,16 +227,16 @@ def common_spans(a: str, b: str, min_length: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _pairs(matched: DataFrame) -> DataFrame:
+def _pairs(matched: DataFrame, which: str = "a < b") -> DataFrame:
     """``a``, ``b`` (texts, lower id first) and, of each shared hash, the positions in both."""
-    left = matched.select("h", F.col("doc_id").alias("a"), F.col("at").alias("at_a"))
+    left = matched.select("h", F.col("doc_id").alias("a"), F.col("at").alias("at_a"), *matched.columns[3:])
     right = matched.select("h", F.col("doc_id").alias("b"), F.col("at").alias("at_b"))
-    return left.join(right, "h").where("a < b").groupBy("a", "b").agg(F.collect_list(F.struct("h", "at_a", "at_b")).alias("hits"))
+    return left.join(right, "h").where(which).groupBy("a", "b").agg(F.collect_list(F.struct("h", "at_a", "at_b")).alias("hits"))
 
 
 def _chain_table(pairs: DataFrame, k: int, min_length: int) -> DataFrame:
     """One row for each chain: its span in both texts, widened so that every common substring of ``min_length`` around
-    its anchors lies inside."""
+    its anchors lies inside (and may begin before the texts do)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -243,7 +246,7 @@ def _chain_table(pairs: DataFrame, k: int, min_length: int) -> DataFrame:
                 for n, chain in enumerate(chains(anchors, k)):
                     reach = min_length - k
                     p, q = [x for x, _ in chain], [y for _, y in chain]
-                    rows.append((a, b, n, len(chain), max(0, p[0] - reach), p[-1] + k + reach, max(0, q[0] - reach), q[-1] + k + reach))
+                    rows.append((a, b, n, len(chain), p[0] - reach, p[-1] + k + reach, q[0] - reach, q[-1] + k + reach))
             yield pd.DataFrame(rows, columns=["a", "b", "chain", "n_seeds", "from_a", "to_a", "from_b", "to_b"])
 
     return pairs.mapInPandas(run, "a long, b long, chain int, n_seeds int, from_a int, to_a int, from_b int, to_b int")
@@ -252,6 +255,7 @@ def _chain_table(pairs: DataFrame, k: int, min_length: int) -> DataFrame:
 def _align(found: DataFrame, docs: DataFrame, min_length: int) -> DataFrame:
     """Adds each chain's exact spans and the share of code points that match along them."""
     texts = docs.select("doc_id", "text")
+    found = found.withColumns({c: F.greatest(F.lit(0), c) for c in ("from_a", "from_b")})
     cut_out = lambda who: F.expr(f"substring(text, from_{who} + 1, to_{who} - from_{who})")
     with_a = found.join(texts.withColumnRenamed("doc_id", "a"), "a").withColumn("part_a", cut_out("a")).drop("text")
     with_b = with_a.join(texts.withColumnRenamed("doc_id", "b"), "b").withColumn("part_b", cut_out("b")).drop("text")
@@ -296,6 +300,28 @@ def _pairs_by_signature(windows: DataFrame) -> DataFrame:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _kin(matched: DataFrame) -> DataFrame:
+    """``doc_id``, ``kin``, ``first``, ``many``: the lowest id of the texts with the same shared seeds at the same distances, the
+    place of the first of them, and whether there are several such texts."""
+    firsts = matched.groupBy("doc_id").agg(F.min(F.array_min("at")).alias("first"), F.collect_list(F.struct("h", "at")).alias("seeds"))
+    moved = F.sort_array(F.transform("seeds", lambda s: F.concat_ws(" ", s["h"], F.concat_ws(" ", F.transform(s["at"], lambda p: (p - F.col("first")).cast("string"))))))
+    keyed = cut(firsts.select("doc_id", "first", F.md5(F.array_join(moved, ",")).alias("key")))
+    kin = keyed.groupBy("key").agg(F.min("doc_id").alias("kin"), (F.count("*") > 1).alias("many"))
+    return keyed.join(kin, "key").select("doc_id", "kin", "first", "many")
+
+
+def _for_kin(chained: DataFrame, kin: DataFrame) -> DataFrame:
+    """Chains of the lowest ids of kin as chains of every two members, lower id first."""
+    leads = kin.where("doc_id = kin")
+    moves = kin.join(leads.select("kin", F.col("first").alias("lead")), "kin").select("kin", "doc_id", (F.col("first") - F.col("lead")).alias("by"))
+    side = lambda who: moves.select(F.col("kin").alias(who), F.col("doc_id").alias(f"m_{who}"), F.col("by").alias(f"by_{who}"))
+    found = chained.join(side("a"), "a").join(side("b"), "b").where("a < b or m_a < m_b")
+    place = lambda edge, who: F.col(f"{edge}_{who}") + F.col(f"by_{who}")
+    either = lambda x, y: F.when(F.col("m_a") < F.col("m_b"), x).otherwise(y)
+    ends = [either(place(e, x), place(e, y)).alias(f"{e}_{x}") for x, y in ("ab", "ba") for e in ("from", "to")]
+    return found.select(F.least("m_a", "m_b").alias("a"), F.greatest("m_a", "m_b").alias("b"), "chain", "n_seeds", *ends)
+
+
 def _by_class(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``rep``: the lowest id of those with the same text, for texts that others repeat."""
     keyed = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("key"))
@@ -310,30 +336,42 @@ class SharedSpans:
         if not 8 <= k < min_length:
             raise ValueError("k must be from 8 to below min_length")
         docs = docs.select("doc_id", "text").where(f"doc_id is not null and length(text) >= {int(min_length)}")
-        self.min_length, self.docs = min_length, docs
+        self.min_length, self.k, self.hot, self.docs = min_length, k, hot, docs
         self.classes = cut(_by_class(docs))
         copies = self.classes.where("doc_id <> rep").select("doc_id")
         # copies leave before anything is joined; a text is read again rather than shuffled
         seeds = cut(seed_table(docs, k, min_length)).join(copies, "doc_id", "left_anti")
         shared = seeds.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-        matched = cut(seeds.join(shared.select("h", "n"), "h"))
-        paired = matched.where(F.col("n") <= hot)
-        self.chained = cut(_chain_table(_pairs(paired), k, min_length))
-        busy = matched.where(F.col("n") > hot)
-        # only texts with a chain or a hot seed are read again; their ids are broadcast while they are few
-        needed = self.chained.select(F.col("a").alias("doc_id")).union(self.chained.select("b")).union(busy.select("doc_id")).distinct()
-        involved = docs.join(broadcast_if_bounded(needed, MAX_BROADCAST_IDS), "doc_id", "left_semi")
-        self.passages = _align(self.chained, involved, min_length)
-        windows = _hot_windows(involved, busy, min_length, k)
+        self.matched = cut(seeds.join(shared.select("h", "n"), "h"))
+
+    def _texts(self, needed: DataFrame) -> DataFrame:
+        """The documents in ``needed``, whose ids are broadcast while they are few."""
+        return self.docs.join(broadcast_if_bounded(needed, MAX_BROADCAST_IDS), "doc_id", "left_semi")
+
+    @cached_property
+    def passages(self) -> DataFrame:
+        """One row for each chain of every pair of texts that share a seed, aligned."""
+        kin = cut(_kin(self.matched))
+        leads = self.matched.join(kin.where("doc_id = kin").select("doc_id", "many"), "doc_id").select("h", "doc_id", "at", "many")
+        chained = cut(_chain_table(_pairs(leads, "a < b or a = b and many"), self.k, self.min_length))
+        return _align(_for_kin(chained, kin), self._texts(kin.select("doc_id")), self.min_length)
+
+    @cached_property
+    def _exact(self) -> tuple[DataFrame, DataFrame]:
+        """Aligned chains of the groups that are not hot, and the shared windows of those that are."""
+        chained = cut(_chain_table(_pairs(self.matched.where(F.col("n") <= self.hot).select("h", "doc_id", "at")), self.k, self.min_length))
+        busy = self.matched.where(F.col("n") > self.hot)
+        # only texts with a chain or a hot seed are read again
+        needed = chained.select(F.col("a").alias("doc_id")).union(chained.select("b")).union(busy.select("doc_id")).distinct()
+        involved = self._texts(needed)
+        windows = _hot_windows(involved, busy, self.min_length, self.k)
         # a window that two texts share is itself an exact span
         grouped = windows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-        shared_windows = cut(windows.join(grouped.select("h"), "h"))
-        self.hot_spans = shared_windows.select("doc_id", F.col("at").alias("start"), (F.col("at") + min_length).alias("end"))
-        self.hot_pairs = _pairs_by_signature(shared_windows)
+        return _align(chained, involved, self.min_length), cut(windows.join(grouped.select("h"), "h"))
 
     def representative_pairs(self) -> DataFrame:
-        exact = self.passages.where("size(spans) > 0").select("a", "b")
-        return exact.union(self.hot_pairs).distinct()
+        aligned, windows = self._exact
+        return aligned.where("size(spans) > 0").select("a", "b").union(_pairs_by_signature(windows)).distinct()
 
     def pairs(self) -> DataFrame:
         """Every pair of documents with a common span, copies included: ``doc_id_a`` < ``doc_id_b``."""
@@ -348,11 +386,12 @@ class SharedSpans:
 
     def shares(self) -> DataFrame:
         """Of each document with shared text: ``n_chars``, ``shared_chars``, ``share``.  One row for each, copies too."""
-        spans = self.passages.select("a", "b", F.explode("spans").alias("s"))
+        aligned, windows = self._exact
+        spans = aligned.select("a", "b", F.explode("spans").alias("s"))
         found = (
             spans.select(F.col("a").alias("doc_id"), F.col("s.a").alias("start"), (F.col("s.a") + F.col("s.n")).alias("end"))
             .union(spans.select(F.col("b").alias("doc_id"), F.col("s.b").alias("start"), (F.col("s.b") + F.col("s.n")).alias("end")))
-            .union(self.hot_spans)
+            .union(windows.select("doc_id", F.col("at").alias("start"), (F.col("at") + self.min_length).alias("end")))
         )
         merged = found.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("all"))
         covered = F.aggregate("all", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda x, s: F.struct((x["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(x["to"], s["start"]))).alias("n"), F.greatest(x["to"], s["end"]).alias("to")))

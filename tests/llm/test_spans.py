@@ -117,3 +117,17 @@ def test_passage_that_a_third_holds(spark):
     got = [(x["doc_id_a"], x["doc_id_b"]) for x in found.pairs().collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute(docs, 200)
+
+
+def test_passages_do_not_depend_on_group_size(spark):
+    r = random.Random(11)
+    text = lambda k: "".join(r.choice("abcdefghij ") for _ in range(k))
+    passage, other = text(260), text(230)
+    docs = [(i, text(r.randrange(0, 300)) + passage + text(i % 5) + (other if i % 40 == 0 else text(40))) for i in range(130)]
+    passages = lambda rows: sorted((x["a"], x["b"], x["start_a"], x["end_a"], x["start_b"], x["end_b"], x["matched"]) for x in spans.SharedSpans(spark.createDataFrame(rows, "doc_id long, text string")).passages.collect())
+    found = passages(docs)
+    assert {x[:2] for x in found} == brute(docs, 200)
+    assert all(x[6] >= 260 for x in found)
+    for few in (docs[:3], docs[79:82], [docs[0], docs[40], docs[80], docs[129]]):
+        ids = {d for d, _ in few}
+        assert passages(few) == [x for x in found if x[0] in ids and x[1] in ids]
