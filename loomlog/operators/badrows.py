@@ -213,6 +213,15 @@ def typed_rows(judged: DataFrame, fields: list[Field], name: str, default_year:
     return valid.select("row_id", *[f.spec.convert(F.col("values")[i], default_year).alias(f.name) for i, f in enumerate(fields)])
 
 
+def typed_records(judged: DataFrame, schemas: dict[str, list[Field]], default_year: int | None = None) -> DataFrame:
+    """Valid rows of all schemas: ``row_id``, ``schema_name`` and ``record``, which has a struct of typed columns for each
+    schema by its name; those of other schemas are null."""
+    typed = lambda fields: F.struct(*[f.spec.convert(F.col("values")[i], default_year).alias(f.name) for i, f in enumerate(fields)])
+    one_of = [F.when(F.col("schema_name") == name, typed(fields)).alias(name) for name, fields in schemas.items()]
+    valid = judged.where("reason is null")
+    return valid.select("row_id", "schema_name", (F.struct(*one_of) if one_of else F.lit(None)).alias("record"))
+
+
 def rejects(judged: DataFrame) -> DataFrame:
     """(``row_id``, ``desc``, ``raw_msg``) of bad rows: the reason, with the column where there is one."""
     desc = F.when(F.col("bad_column").isNull(), F.col("reason")).otherwise(F.concat_ws(": ", "reason", "bad_column"))

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from messy import clashing
 from pyspark.sql import functions as F
 
+from loomlog import queries
 from loomlog.functions import timeshapes
 from loomlog.functions.earley import Earley, Grammar
 from loomlog.functions.loglines import LineParser
@@ -162,6 +163,21 @@ def test_bad_rows_table(spark):
     assert badrows.judge_records(df.limit(0), {}).collect() == []
 
 
+def test_valid_records_of_every_schema(spark, tmp_path):
+    columns = [("one", 0, "n", "int", True), ("one", 1, "s", "str:3", False), ("two", 0, "b", "bool", True), ("row_id", 0, "x", "float", False)]
+    spark.createDataFrame(columns, "schema_name string, col_pos int, name string, pv_type string, required boolean").write.parquet(f"{tmp_path}/parsercoldef.parquet")
+    records = [(1, "one", "5,ab"), (2, "one", "x,ab"), (3, "two", "TRUE"), (4, "row_id", "1.5"), (5, "three", "a"), (6, "one", "7,"), (7, "two", None)]
+    spark.createDataFrame(records, "rec_id long, schema_name string, raw_msg string").write.parquet(f"{tmp_path}/logparseerror.parquet")
+    found = {r["row_id"]: (r["schema_name"], r["record"].asDict(True)) for r in queries.p5_valid(spark, str(tmp_path)).collect()}
+    none = dict.fromkeys(("one", "two", "row_id"))
+    assert found == {
+        1: ("one", none | {"one": {"n": 5, "s": "ab"}}),
+        3: ("two", none | {"two": {"b": True}}),
+        4: ("row_id", none | {"row_id": {"x": 1.5}}),
+        6: ("one", none | {"one": {"n": 7, "s": None}}),
+    }
+
+
 FORMATS = {1: "%b %e %H:%M:%S", 2: "%Y-%m-%dT%H:%M:%S.%3f%z", 3: "%Y-%m-%dT%H:%M:%S", 6: "%m/%d/%Y %I:%M:%S %p", 8: "%s", 10: "%a %b %e %H:%M:%S %Y", 11: "%a, %d %b %Y %H:%M:%S %Z", 12: "%d/%m/%y %H:%M", 13: "%m-%d %H:%M:%S%.3f", 14: "%Y-%m-%dT%H:%M:%SZ", 15: "%s%3f"}
 CAPTURE = "capture_id long, logsource string, program string, timestamp string, format_id int, received_at timestamp"
 
