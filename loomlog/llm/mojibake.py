@@ -7,24 +7,28 @@ Garbled sequences are computed beforehand for all encoding pairs and matched by
   several times over).
 * Text of a legacy encoding read as another one: the words that are frequent in the corpus itself, as each pair shows
   them.  A match must be a whole run, and its plain form at least ``RATIO`` times as frequent as the garbled one.
+  Rarer words are looked up by a join: what each run may have been before, with the counts of all runs.  In a row with
+  a proven pair, the other runs are undone too if all of them decode plausibly by it.
 * U+FFFD, which stands where the original is lost.
 
 Only matched runs are replaced.  The words come from counts over all rows; their number is bounded since each must make up
 at least ``LEAST_SHARE`` of all counted runs (so there are at most 1 / LEAST_SHARE of them to broadcast).
 
 Defined cases: null, empty and ASCII texts are no case and come out as they are; a row counts once however much of
-it is garbled; a text with U+FFFD is a case without a restored form.
+it is garbled; a text with U+FFFD is a case without a restored form.  A word seen less than ``RATIO`` times as often as
+its garbled form is no evidence by itself.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import broadcast_if_bounded, cut
 
 # Encodings by their Python names: those text was wrongly read as, and those it was written in.
 READ_AS = ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "cp1253", "koi8-r", "cp866", "cp1254", "cp1257")
@@ -120,20 +124,36 @@ def undo_utf8(run: str, cut_short: bool = False) -> tuple[str, str] | None:
     return best
 
 
-def reversals(run: str) -> set[str]:
-    """What a run may have been before any legacy pair garbled it."""
-    out = set()
+def origins(run: str) -> dict[str, str]:
+    """What a run may have been before a legacy pair garbled it, to ``written>read``."""
+    out: dict[str, str] = {}
     for name in READ_AS:
         data = to_bytes(run, name)
         if data is None:
             continue
         for written in WRITTEN_IN:
             try:
-                out.add(data.decode(written))
+                out.setdefault(data.decode(written), f"{written}>{name}")
             except UnicodeDecodeError:
                 pass
-    out.discard(run)
-    return {x for x in out if not x.isascii()}
+    out.pop(run, None)
+    return {x: p for x, p in out.items() if not x.isascii()}
+
+
+def reversals(run: str) -> set[str]:
+    """What a run may have been before any legacy pair garbled it."""
+    return set(origins(run))
+
+
+def _wordlike(run: str) -> bool:
+    """Whether a run holds plausible characters only, its letters are of one script and no symbol stands between letters."""
+    if not all(map(_plausible, run)):
+        return False
+    letters = [c.isalpha() or unicodedata.category(c)[0] == "M" for c in run]
+    if any(not x and any(letters[:i]) and any(letters[i:]) for i, x in enumerate(letters)):
+        return False
+    scripts = {unicodedata.name(c, "").split(" ")[0] for c, x in zip(run, letters) if x and c.isalpha()} - {"FEMININE", "MASCULINE", "MICRO"}
+    return len(scripts) <= 1 or scripts <= {"CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "HALFWIDTH", "FULLWIDTH", "HANGUL"}
 
 
 def garblings(word: str) -> dict[str, str]:
@@ -152,13 +172,41 @@ def garblings(word: str) -> dict[str, str]:
     return {g: p for g, p in out.items() if len(g) > 1}
 
 
-def run_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """``run``, ``n`` of all runs beyond ASCII in the corpus that are frequent enough."""
+def all_run_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``run``, ``n`` of all runs beyond ASCII in the corpus."""
     some = texts.where(F.octet_length(text) != F.length(text))
     runs = some.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(RUN), F.lit(0))).alias("run"))
-    counts = cut(runs.groupBy("run").agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.where(F.col("n") >= max(LEAST_COUNT, LEAST_SHARE * total))
+    return cut(runs.groupBy("run").agg(F.count("*").alias("n")))
+
+
+def least_count(counts: DataFrame) -> float:
+    """The count from which runs are frequent enough to be broadcast."""
+    return max(LEAST_COUNT, LEAST_SHARE * (counts.agg(F.sum("n")).first()[0] or 0))
+
+
+def run_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``run``, ``n`` of all runs beyond ASCII in the corpus that are frequent enough."""
+    counts = all_run_counts(texts, text)
+    return counts.where(F.col("n") >= least_count(counts))
+
+
+def rare_words(counts: DataFrame, least: float) -> DataFrame:
+    """``run``, ``plain``, ``pair``: garbled runs whose word is seen less than ``least`` times, by a join of what each run may
+    have been with all runs.  The most frequent such word counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(g, n, w, p) for g, n in zip(pdf["run"], pdf["n"]) if len(g) > 1 and not undo_utf8(g) for w, p in origins(g).items() if _wordlike(w)]
+            yield pd.DataFrame(rows, columns=["run", "n", "plain", "pair"])
+
+    # a word of n copies explains n / RATIO garbled ones; runs beyond that are judged by the frequent words
+    asked = counts.where((F.col("n") * RATIO < least) & ~F.col("run").contains("\ufffd"))
+    known = counts.select(F.col("run").alias("plain"), F.col("n").alias("n_plain"))
+    found = cut(asked.mapInPandas(run, "run string, n long, plain string, pair string").join(known, "plain").where(F.col("n_plain") >= F.col("n") * RATIO))
+    garbled = found.select(F.col("run").alias("plain")).distinct()
+    best = found.where(F.col("n_plain") < least).join(garbled, "plain", "left_anti").groupBy("run").agg(F.max(F.struct("n_plain", "plain", "pair")).alias("x"))
+    clean = F.udf(lambda w: undo_utf8(w) is None, "boolean")
+    return best.select("run", "x.plain", "x.pair").where(clean("plain"))
 
 
 class Patterns:
@@ -208,25 +256,34 @@ class Patterns:
         return self.known[key]
 
     def _same_pair(self, text: str, spans: list[tuple[int, int, str]], found: list[str]) -> list[tuple[int, int, str]]:
-        """Runs outside the spans, too short to judge alone, that a legacy pair found in the text turns into words."""
+        """Runs outside the spans, too short or too rare to judge alone, that a legacy pair found in the text turns into
+        words, or, where that gives plausible text throughout, into others."""
         pairs = [p.split(">") for p in dict.fromkeys(found) if not p.startswith("utf-8")]
-        out = []
-        for m in self.runs.finditer(text) if pairs else ():
-            if any(s < m.end() and m.start() < e for s, e, _ in spans):
-                continue
-            for written, read in pairs:
-                data = to_bytes(m[0], read)
-                try:
-                    plain = data.decode(written) if data is not None else m[0]
-                except UnicodeDecodeError:
-                    continue
-                if plain != m[0] and plain in self.clean and self.counts[plain] >= RATIO * self.counts.get(m[0], 0):
-                    out.append((m.start(), m.end(), plain))
-                    break
+        left = [m for m in self.runs.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in spans)] if pairs else []
+        out, rest = [], []
+        for m in left:
+            plains = [self._undo(m[0], *p) for p in pairs]
+            known = next((x for x in plains if x is not None and x != m[0] and x in self.clean and self.counts[x] >= RATIO * self.counts.get(m[0], 0)), None)
+            if known is None:
+                rest.append((m, plains))
+            else:
+                out.append((m.start(), m.end(), known))
+        for i in range(len(pairs)):
+            if all(x[i] is not None and (x[i] == m[0] or _wordlike(x[i]) and (m[0] not in self.clean or x[i] in self.counts)) for m, x in rest):
+                return out + [(m.start(), m.end(), x[i]) for m, x in rest if x[i] != m[0]]
         return out
 
-    def look(self, text: str) -> tuple[str | None, list[str]]:
-        """(text with garbled runs restored, or None where something is lost; what was found)."""
+    @staticmethod
+    def _undo(run: str, written: str, read: str) -> str | None:
+        data = to_bytes(run, read)
+        try:
+            return data.decode(written) if data is not None else None
+        except UnicodeDecodeError:
+            return None
+
+    def look(self, text: str, rare: dict[str, tuple[str, str]] | None = None) -> tuple[str | None, list[str]]:
+        """(text with garbled runs restored, or None where something is lost; what was found).  ``rare``: garbled runs of the
+        text whose words are rare, to (word, pair)."""
         if text.isascii():
             return text, []
         found, spans = [], []
@@ -254,6 +311,11 @@ class Patterns:
                 spans.append((start, stop, undone[0]))
                 found.append(undone[1])
                 done = stop
+        for m in self.runs.finditer(text) if rare else ():
+            if m[0] in rare and not any(s < m.end() and m.start() < e for s, e, _ in spans):
+                plain, pair = rare[m[0]]
+                spans.append((m.start(), m.end(), plain))
+                found.append(pair)
         spans += self._same_pair(text, spans, found)
         lost = "�" in text
         if lost:
@@ -278,7 +340,9 @@ _PATTERNS: dict[int, Patterns] = {}
 def find_garbled(df: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """``df`` has ``tbl``, ``row_id`` and ``text``; gives ``tbl``, ``row_id``, ``text``, ``restored``, ``pairs`` of the
     garbled rows.  ``corpus``: the texts words are counted in, by default the same."""
-    counts = {r["run"]: r["n"] for r in run_counts(df if corpus is None else corpus).collect()}
+    every = all_run_counts(df if corpus is None else corpus)
+    least = least_count(every)
+    counts = {r["run"]: r["n"] for r in every.where(F.col("n") >= least).collect()}
     shared = df.sparkSession.sparkContext.broadcast((counts, hash(frozenset(counts.items()))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,11 +353,15 @@ def find_garbled(df: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
         look = _PATTERNS[key].look
         for pdf in batches:
             rows = []
-            for tbl, row_id, text in zip(pdf["tbl"], pdf["row_id"], pdf["text"]):
-                restored, pairs = look(text)
+            for tbl, row_id, text, rare in zip(pdf["tbl"], pdf["row_id"], pdf["text"], pdf["rare"]):
+                restored, pairs = look(text, None if rare is None else {x["run"]: (x["plain"], x["pair"]) for x in rare})
                 if pairs:
                     rows.append((tbl, row_id, text, restored, ", ".join(pairs)))
             yield pd.DataFrame(rows, columns=["tbl", "row_id", "text", "restored", "pairs"])
 
     some = df.where(F.octet_length("text") != F.length("text"))
-    return some.select("tbl", F.col("row_id").cast("long").alias("row_id"), "text").mapInPandas(run, "tbl string, row_id long, text string, restored string, pairs string")
+    rare = rare_words(every, least)
+    held = some.select("text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(RUN), F.lit(0)))).alias("run"))
+    held = held.join(broadcast_if_bounded(cut(rare)), "run").distinct().groupBy("text").agg(F.collect_list(F.struct("run", "plain", "pair")).alias("rare"))
+    rows = some.select("tbl", F.col("row_id").cast("long").alias("row_id"), "text").join(broadcast_if_bounded(cut(held)), "text", "left")
+    return rows.select("tbl", "row_id", "text", "rare").mapInPandas(run, "tbl string, row_id long, text string, restored string, pairs string")

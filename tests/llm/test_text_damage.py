@@ -68,6 +68,13 @@ def test_lost_text(patterns):
     assert patterns.look("sesi�n") == (None, ["lost"])
 
 
+def test_rare_words_of_legacy_pairs(spark):
+    rows = [("s", i, t) for i, t in enumerate(CLEAN * 12)] + [("s", 500 + i, "Überprüfung beendet") for i in range(5)]
+    rows += [("s", 900, garble("Überprüfung beendet", "cp1252", "cp850")), ("s", 901, garble("não foi possível: Köhlergasse", "cp1252", "cp850"))]
+    got = {r["row_id"]: r["restored"] for r in mojibake.find_garbled(spark.createDataFrame(rows, "tbl string, row_id long, text string")).collect()}
+    assert got == {900: "Überprüfung beendet", 901: "não foi possível: Köhlergasse"}
+
+
 def test_garbled_table(spark):
     rows = [("s", i, t) for i, t in enumerate(CLEAN * 12)] + [("s", 900, garble(CLEAN[0], "utf-8", "cp1252")), ("s", 901, garble(CLEAN[2], "cp1251", "latin-1")), ("r", 901, "x�"), ("r", 902, None), ("r", 903, ""), ("r", 904, "é" * 50_000), (None, None, garble("Straße", "utf-8", "cp437"))]
     df = clashing(spark.createDataFrame(rows, "tbl string, row_id long, text string"))
