@@ -75,11 +75,16 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_passages(spark: SparkSession, d: str) -> DataFrame:
-    return spans.SharedSpans(table(spark, d, "documents")).passages.drop("spans")
+    return spans.SharedSpans(table(spark, d, "documents")).passages
+
+
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The form for scale, beside ``p10_passages``: the class (its lowest id) of each document whose text others repeat."""
+    return spans.SharedSpans(table(spark, d, "documents")).classes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_runs, p3_found, p3_items, p4_found, p4_rates, p7_found, p7_restored, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_passages)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p3_found, p3_items, p4_found, p4_rates, p7_found, p7_restored, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_passages, p10_classes)}
 
 
 P3 = """
@@ -118,5 +123,16 @@ WITH spans AS (SELECT DISTINCT doc_id, hash(substr(text, i, 200)) AS h FROM (SEL
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM spans a JOIN spans b ON a.h = b.h AND a.doc_id < b.doc_id"""
 
 
+P10_SHARES = """
+WITH spans AS (SELECT doc_id, n, i, hash(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, length(text) AS n, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+shared AS (SELECT h FROM spans GROUP BY h HAVING min(doc_id) < max(doc_id)),
+placed AS (SELECT doc_id, n, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS later FROM spans WHERE h IN (FROM shared))
+SELECT doc_id, n::BIGINT AS n_chars, sum(least(200, coalesce(later - i, 200)))::BIGINT AS shared_chars, sum(least(200, coalesce(later - i, 200)))::DOUBLE / n AS share FROM placed GROUP BY doc_id, n"""
+
+P10_CLASSES = """
+WITH known AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200)
+SELECT doc_id, rep FROM known WHERE n > 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p3_found": P3, "p10_found": P10}
+    return {"p1_found": P1, "p3_found": P3, "p10_found": P10, "p10_shares": P10_SHARES, "p10_classes": P10_CLASSES}

@@ -3,29 +3,36 @@
 Seeds are k-mers chosen by winnowing: of every ``window`` consecutive k-mers those of the least hash.  With
 ``k + window - 1 = min_length`` any common substring of ``min_length`` code points contains a k-mer that is chosen in
 both texts, so no case is lost.  Seeds that occur in one text only are dropped by an aggregation; the others are joined
-into anchors, grouped by pair, and chained: the best collinear chain with gap costs is found through a Fenwick tree
-over the second text's positions, again and again until no anchor is left.  Chains are aligned on the texts they span,
-which gives fuzzy passages (with their share of equal code points) and the exact spans inside them.
+into pairs of texts.  Of each pair the neighbourhoods of its seeds are compared: every window of ``min_length`` that both
+hold is extended to a maximal match, and the matches are chained: the best collinear chains with gap costs are
+found through a Fenwick tree over the second text's positions.  A seed that repeats in both texts makes no square of
+anchors, as matches come from whole windows: each place of one text gets one partner, the next in order.
 
-Exact copies of a text stand for one class: seeds, anchors and chains are those of the class's lowest id, and members
-are added at the end.  For pairs and shares, hash groups with more than ``hot`` texts are not paired by k-mers: their
-texts are keyed by whole windows of ``min_length`` around the seed, so that only texts that share a full span meet.
-Passages are chained over the seeds of all groups, whatever their size: texts with the same seeds at the same
-distances are kin, each two sets of kin are chained once, and the chains are moved to the places of each member.
+For passages the chains also take matches of k code points, and the gaps inside a chain are aligned (longest common
+subsequence), which gives fuzzy passages with their share of equal code points around verbatim spans.
+
+Exact copies of a text stand for one class: seeds, pairs and passages are those of the class's lowest id, and
+members are added at the end.  Seeds in more than ``hot`` texts are not paired text by text: the windows around them that two
+texts share are joined into segments, equal segments are one class, and classes are paired, chained and aligned once, whatever
+the number of texts that hold them.  Both ways are exact, so results don't depend on ``hot``.
 
 Defined cases: null, empty and short texts have no span; a text shared with itself is no case; rows that
 repeat a document id are pieces of one document; positions are code points from 0; columns other than id and text play no part.
+Texts are compared wherever pairs are made; that members of one segment class hold the same text rests on 128-bit digests of 64-bit
+window hashes.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_bounded, cut
@@ -33,8 +40,10 @@ from ..session import broadcast_if_bounded, cut
 #: Shorter seeds are chosen more sparsely (of every ``min_length - K + 1``), but boilerplate makes more chance matches.
 K = 100
 MIN_LENGTH = 200
-#: Texts in one hash group beyond which whole windows are keyed in place of pairing by k-mers.
+#: Texts that hold one seed beyond which its windows are keyed and paired by classes; it changes the cost and not the result.
 HOT = 100
+#: Most code points that a chain may skip between two matches.
+MOST_GAP = 1000
 #: Ids of texts that take part are broadcast up to this many (16 MB), beyond it joined through a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -84,7 +93,8 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
 
 
 def thin(positions: np.ndarray, h: np.ndarray, window: int) -> np.ndarray:
-    """Of a run of equal hashes closer than a window, as periodic text makes them, the ends and one for each window."""
+    """Of a run of equal hashes closer than a window, as periodic text makes them, one in ``window // 2`` places; what is dropped
+    stands less than that after one that is kept."""
     kept: dict[int, int] = {}
     out = []
     for p, x in zip(positions.tolist(), h[positions].tolist()):
@@ -149,138 +159,227 @@ class Fenwick:
         return found
 
 
-def chains(anchors: list[tuple[int, int]], k: int, gap: float = 0.05, most_gap: int = 1000) -> list[list[tuple[int, int]]]:
-    """Disjoint collinear chains of ``(a, b)`` anchors of length k, best first.
+Match = tuple[int, int, int]  #: start in a, start in b, length
+
 
-    A chain's score is the code points its anchors add, less ``gap`` for each code point skipped in either text.  With
-    the gap cost split between the two texts, an anchor's best predecessor is a prefix maximum of
-    ``score + gap * (a + b)`` over the second text's ranks.  A chain breaks where it skips more than ``most_gap``.
+def chains(anchors: list[Match], gap: float = 0.05, most_gap: int = MOST_GAP) -> list[list[Match]]:
+    """Disjoint collinear chains of matches, best first.
+
+    A chain's score is the code points its matches add, less ``gap`` for each code point skipped in either text.  With
+    the gap cost split between the two texts, a match's best predecessor is a prefix maximum of ``score + gap * ends`` over the
+    second text's ranks.  A chain breaks where it skips more than ``most_gap``.  Chains are read off by falling score, each
+    back to where one that was read before passes.
     """
     left = sorted(set(anchors))
-    out = []
-    while left:
-        ranks = {b: i + 1 for i, b in enumerate(sorted({b for _, b in left}))}
-        tree = Fenwick(len(ranks))
-        score, back = [0.0] * len(left), [-1] * len(left)
-        start = 0
-        for i, (a, b) in enumerate(left):
-            while left[start][0] < a:  # only anchors strictly before in the first text are in the tree
-                x, y = left[start]
-                tree.raise_to(ranks[y], (score[start] + gap * (x + y), start))
-                start += 1
-            score[i] = float(k)
-            value, j = tree.upto(ranks[b] - 1)
-            if j >= 0:
-                x, y = left[j]
-                gained = min(k, a - x, b - y)
-                skipped = max(0, a - x - k) + max(0, b - y - k)
-                if skipped <= most_gap and score[j] + gained - gap * skipped > score[i]:
-                    score[i], back[i] = score[j] + gained - gap * skipped, j
-        i = max(range(len(left)), key=score.__getitem__)
-        chain = []
-        while i >= 0:
-            chain.append(left[i])
+    ranks = {b: i + 1 for i, b in enumerate(sorted({b for _, b, _ in left}))}
+    tree = Fenwick(len(ranks))
+    score, back = [0.0] * len(left), [-1] * len(left)
+    start = 0
+    for i, (a, b, n) in enumerate(left):
+        while left[start][0] < a:  # only matches strictly before in the first text are in the tree
+            x, y, m = left[start]
+            tree.raise_to(ranks[y], (score[start] + gap * (x + y + 2 * m), start))
+            start += 1
+        score[i] = float(n)
+        for j in {tree.upto(ranks[b] - 1)[1], i - 1}:
+            if j < 0 or left[j][0] >= a or left[j][1] >= b:
+                continue
+            x, y, m = left[j]
+            gained = min(n, a + n - x - m, b + n - y - m)
+            skipped = max(0, a - x - m) + max(0, b - y - m)
+            if gained > 0 and skipped <= most_gap and score[j] + gained - gap * skipped > score[i]:
+                score[i], back[i] = score[j] + gained - gap * skipped, j
+    out, used = [], set()
+    for i in sorted(range(len(left)), key=lambda i: (-score[i], i)):
+        links = []
+        while i >= 0 and i not in used:
+            used.add(i)
+            links.append(left[i])
             i = back[i]
-        out.append(chain[::-1])
-        used = set(chain)
-        left = [x for x in left if x not in used]
+        if links:
+            out.append(links[::-1])
     return out
 
 
-def anchors_of(hs: list[int], a: list[list[int]], b: list[list[int]], most: int = 64) -> list[tuple[int, int]]:
-    """Anchors of one pair: all position pairs of a hash, or, where both texts repeat it many times, the pairs
-    by order, so that periodic texts make no square of anchors."""
-    out = []
-    for x, y in zip(a, b):
-        if len(x) * len(y) <= most:
-            out += [(p, q) for p in x for q in y]
+class Pieces:
+    """Parts of one text, in order and apart from each other: ``(place, part)``."""
+
+    def __init__(self, parts: list[tuple[int, str]]):
+        self.at = [at for at, _ in parts]
+        self.points = [code_points(text) for _, text in parts]
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def hashes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, place) of every window of n."""
+        if n not in self.known:
+            found = [kmer_hashes(p, n) for p in self.points]
+            places = [np.arange(at, at + len(h)) for at, h in zip(self.at, found)]
+            self.known[n] = (np.concatenate(found), np.concatenate(places)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        return self.known[n]
+
+    def rest(self, place: int) -> np.ndarray:
+        """Code points from a place to the end of its part."""
+        i = bisect_left(self.at, place + 1) - 1
+        return self.points[i][place - self.at[i] :] if i >= 0 else self.points[0][:0]
+
+    def between(self, start: int, end: int) -> np.ndarray:
+        return self.rest(start)[: max(0, end - start)]
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the common start."""
+    most, at, step = min(len(x), len(y)), 0, 256
+    while at < most:
+        end = min(most, at + step)
+        differs = np.nonzero(x[at:end] != y[at:end])[0]
+        if len(differs):
+            return at + int(differs[0])
+        at, step = end, step * 4
+    return most
+
+
+def matches(a: Pieces, b: Pieces, n: int) -> list[Match]:
+    """Maximal matches of at least n so that every window of n in ``a`` which ``b`` has too lies in one.  Where ``b`` has
+    it more than once, the partner is the next in order after the match before, or else the first."""
+    (ha, pa), (hb, pb) = a.hashes(n), b.hashes(n)
+    if not len(ha) or not len(hb):
+        return []
+    order = np.argsort(hb, kind="stable")
+    known = hb[order]
+    at = np.searchsorted(known, ha)
+    hit = np.nonzero(known[np.minimum(at, len(known) - 1)] == ha)[0]
+    places, out = pa[hit], []
+    t, after = 0, 0
+    while t < len(hit):
+        i, first = int(places[t]), at[hit[t]]
+        js = pb[order[first : np.searchsorted(known, ha[hit[t]], side="right")]]
+        k = int(np.searchsorted(js, after))
+        for j in chain(js[k : k + 1].tolist(), (int(x) for x in js)):
+            size = _common(a.rest(i), b.rest(j))
+            if size >= n:  # what equal hashes of different windows would fail
+                out.append((i, j, size))
+                t, after = int(np.searchsorted(places, i + size - n + 1)), j + size
+                break
         else:
-            n = max(len(x), len(y))
-            out += [(x[i * len(x) // n], y[i * len(y) // n]) for i in range(n)]
+            t += 1
     return out
 
 
-def common_spans(a: str, b: str, min_length: int) -> list[tuple[int, int, int]]:
-    """All maximal ``(start in a, start in b, length)`` of at least ``min_length`` with one partner for each start."""
-    if min(len(a), len(b)) < min_length:
-        return []
-    where: dict[int, int] = {}
-    ha, hb = kmer_hashes(code_points(a), min_length), kmer_hashes(code_points(b), min_length)
-    hit = np.nonzero(np.isin(ha, hb))[0]
-    if not len(hit):
+def both_ways(a: Pieces, b: Pieces, n: int) -> tuple[list[Match], list[Match]]:
+    """Matches that cover all that ``a`` shares, and those that cover all that ``b`` shares."""
+    there = matches(a, b, n)
+    if not there:
+        return [], []
+    (ha, _), (hb, pb) = a.hashes(n), b.hashes(n)
+    places = pb[np.isin(hb, ha)]
+    ends = sorted((j, j + m) for _, j, m in there)
+    at = np.searchsorted(np.array([j for j, _ in ends]), places, side="right") - 1
+    if (at >= 0).all() and (np.maximum.accumulate([e for _, e in ends])[at] >= places + n).all():
+        return there, there
+    return there, [(i, j, m) for j, i, m in matches(b, a, n)]
+
+
+def lcs(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the longest common subsequence, with the rows of the table as bits of integers."""
+    if not len(x) or not len(y):
+        return 0
+    places: dict[int, int] = {}
+    for i, c in enumerate(x.tolist()):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for c in y.tolist():
+        hit = row & places.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(x) - row.bit_count()
+
+
+def passages(a: Pieces, b: Pieces, k: int, min_length: int) -> list[tuple[int, int, int, int, int, int, int]]:
+    """``(start_a, end_a, start_b, end_b, matches, verbatim, matched)`` of the chains that hold a verbatim span: code points in
+    spans of ``min_length``, and all that are equal along the aligned chain."""
+    there, back = both_ways(a, b, min_length)
+    spans = {*there, *back}
+    if not spans:
         return []
-    for j, x in enumerate(hb.tolist()):
-        where.setdefault(x, j)
-    out, end = [], -1
-    for i in hit.tolist():
-        if i < end:
-            continue
-        j = where[int(ha[i])]
-        if a[i : i + min_length] != b[j : j + min_length]:
+    inside = np.array(sorted(there))
+    small = []
+    for i, j, n in matches(a, b, k):
+        at = int(np.searchsorted(inside[:, 0], i, side="right")) - 1
+        if at < 0 or i + n > inside[at, 0] + inside[at, 2]:
+            small.append((i, j, n))
+    out = []
+    for links in chains([*spans, *small]):
+        verbatim, to = 0, -1
+        for i, _, n in links:
+            if n >= min_length:
+                verbatim += i + n - max(i, to)
+                to = i + n
+        if not verbatim:
             continue
-        n = min_length
-        most = min(len(a) - i, len(b) - j)
-        while n < most and a[i + n] == b[j + n]:
-            n += 1
-        out.append((i, j, n))
-        end = i + n - min_length + 1
+        matched = links[0][2]
+        for (x, y, m), (i, j, n) in pairwise(links):
+            matched += min(n, i + n - x - m, j + n - y - m)
+            matched += lcs(a.between(x + m, i), b.between(y + m, j))
+        first, last = links[0], links[-1]
+        out.append((first[0], last[0] + last[2], first[1], last[1] + last[2], len(links), verbatim, matched))
     return out
 
 
-def _pairs(matched: DataFrame, which: str = "a < b") -> DataFrame:
-    """``a``, ``b`` (texts, lower id first) and, of each shared hash, the positions in both."""
-    left = matched.select("h", F.col("doc_id").alias("a"), F.col("at").alias("at_a"), *matched.columns[3:])
-    right = matched.select("h", F.col("doc_id").alias("b"), F.col("at").alias("at_b"))
-    return left.join(right, "h").where(which).groupBy("a", "b").agg(F.collect_list(F.struct("h", "at_a", "at_b")).alias("hits"))
+def _regions(at: Column, before: int, after: int, apart: int) -> Column:
+    """Neighbourhoods of sorted places, from ``before`` to ``after`` around each, as one where no more than ``apart`` lies between."""
+    n = F.size(at)
+    starts = F.filter(at, lambda p, i: (i == 0) | (p - F.get(at, i - 1) > apart))
+    ends = F.filter(at, lambda p, i: (i == n - 1) | (F.get(at, i + 1) - p > apart))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(F.greatest(s - before, F.lit(0)).alias("at"), (e + after).alias("to")))
 
 
-def _chain_table(pairs: DataFrame, k: int, min_length: int) -> DataFrame:
-    """One row for each chain: its span in both texts, widened so that every common substring of ``min_length`` around
-    its anchors lies inside (and may begin before the texts do)."""
+def _parts(text: Column, regions: Column) -> Column:
+    return F.transform(regions, lambda r: F.struct(r["at"].alias("at"), F.substring(text, r["at"] + 1, r["to"] - r["at"]).alias("text")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for a, b, hits in zip(pdf["a"], pdf["b"], pdf["hits"]):
-                anchors = anchors_of([x["h"] for x in hits], [list(x["at_a"]) for x in hits], [list(x["at_b"]) for x in hits])
-                for n, chain in enumerate(chains(anchors, k)):
-                    reach = min_length - k
-                    p, q = [x for x, _ in chain], [y for _, y in chain]
-                    rows.append((a, b, n, len(chain), p[0] - reach, p[-1] + k + reach, q[0] - reach, q[-1] + k + reach))
-            yield pd.DataFrame(rows, columns=["a", "b", "chain", "n_seeds", "from_a", "to_a", "from_b", "to_b"])
 
-    return pairs.mapInPandas(run, "a long, b long, chain int, n_seeds int, from_a int, to_a int, from_b int, to_b int")
+def _places(at: str) -> Column:
+    return F.sort_array(F.array_distinct(F.flatten(F.collect_list(at))))
+
+
+_MATCHES = "array<struct<a:int,b:int,n:int>>"
 
 
 def _align(found: DataFrame, docs: DataFrame, min_length: int) -> DataFrame:
-    """Adds each chain's exact spans and the share of code points that match along them."""
+    """``found`` has pairs ``a``, ``b``, their regions and two keys; gives those with a chain of verbatim spans, with the spans
+    that cover what ``a`` and what ``b`` shares."""
     texts = docs.select("doc_id", "text")
-    found = found.withColumns({c: F.greatest(F.lit(0), c) for c in ("from_a", "from_b")})
-    cut_out = lambda who: F.expr(f"substring(text, from_{who} + 1, to_{who} - from_{who})")
-    with_a = found.join(texts.withColumnRenamed("doc_id", "a"), "a").withColumn("part_a", cut_out("a")).drop("text")
-    with_b = with_a.join(texts.withColumnRenamed("doc_id", "b"), "b").withColumn("part_b", cut_out("b")).drop("text")
-    schema = "a long, b long, n_seeds int, start_a int, end_a int, start_b int, end_b int, matched int, spans array<struct<a:int,b:int,n:int>>"
+    with_a = found.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "b", "s", "t", _parts(F.col("text"), F.col("regions_a")).alias("parts_a"), "regions_b")
+    with_b = with_a.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "b", "s", "t", "parts_a", _parts(F.col("text"), F.col("regions_b")).alias("parts_b"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                spans = [{"a": i + r.from_a, "b": j + r.from_b, "n": n} for i, j, n in common_spans(r.part_a, r.part_b, min_length)]
-                rows.append((r.a, r.b, r.n_seeds, r.from_a, r.from_a + len(r.part_a), r.from_b, r.from_b + len(r.part_b), sum(x["n"] for x in spans), spans))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-
-    return with_b.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, of_a, of_b, counts = [], [], [], []
+            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                a, b = (Pieces([(r["at"], r["text"]) for r in z]) for z in (x, y))
+                there, back = both_ways(a, b, min_length)
+                linked = chains([*there, *back])
+                if linked:
+                    kept.append(i)
+                    of_a.append([{"a": p, "b": q, "n": n} for p, q, n in there])
+                    of_b.append([{"a": p, "b": q, "n": n} for p, q, n in back])
+                    counts.append(len(linked))
+            head = batch.select(["a", "b", "s", "t"]).take(pa.array(kept, pa.int32()))
+            kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*head.columns, pa.array(counts, pa.int32()), pa.array(of_a, kind), pa.array(of_b, kind)], names=["a", "b", "s", "t", "n_chains", "of_a", "of_b"])
+
+    return with_b.mapInArrow(run, f"a long, b long, s string, t string, n_chains int, of_a {_MATCHES}, of_b {_MATCHES}")
 
 
 def _hot_windows(docs: DataFrame, hot: DataFrame, min_length: int, k: int) -> DataFrame:
     """Of the seeds in hot groups: ``h`` of every window of ``min_length`` around them and its position."""
+    slack = (min_length - k + 1) // 2  # seeds of periodic text are thinned by as much
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for doc, text, ats in zip(pdf["doc_id"], pdf["text"], pdf["ats"]):
                 h = kmer_hashes(code_points(text), min_length).view(np.int64)
-                starts = sorted({s for at in ats for s in range(max(0, at - min_length + k), min(at + 1, len(h)))})
+                starts = sorted({s for at in ats for s in range(max(0, at - min_length + k), min(at + 1 + slack, len(h)))})
                 out.append(pd.DataFrame({"h": h[starts], "doc_id": doc, "at": np.array(starts, np.int32)}))
             yield pd.concat(out) if out else pd.DataFrame({"h": [], "doc_id": [], "at": []})
 
@@ -288,38 +387,13 @@ def _hot_windows(docs: DataFrame, hot: DataFrame, min_length: int, k: int) -> Da
     return spots.join(docs.select("doc_id", "text"), "doc_id").mapInPandas(run, "h long, doc_id long, at int")
 
 
-def _pairs_by_signature(windows: DataFrame) -> DataFrame:
-    """``a`` < ``b``: texts that share a window.  Texts with the same set of shared windows have one signature, so windows
-    are joined between signatures and not between texts; the pairs of texts are then written once each."""
-    once = windows.select("h", "doc_id").distinct()
-    signed = cut(once.groupBy("doc_id").agg(F.md5(F.array_join(F.sort_array(F.collect_list("h")), ",")).alias("sig")))
-    held = once.join(signed, "doc_id").select("sig", "h").distinct()
-    met = held.withColumnRenamed("sig", "s").join(held.withColumnRenamed("sig", "t"), "h").where("s <= t").select("s", "t").distinct()
-    left, right = signed.select(F.col("sig").alias("s"), F.col("doc_id").alias("x")), signed.select(F.col("sig").alias("t"), F.col("doc_id").alias("y"))
-    found = met.join(left, "s").join(right, "t").where("x <> y and (s <> t or x < y)")
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def _kin(matched: DataFrame) -> DataFrame:
-    """``doc_id``, ``kin``, ``first``, ``many``: the lowest id of the texts with the same shared seeds at the same distances, the
-    place of the first of them, and whether there are several such texts."""
-    firsts = matched.groupBy("doc_id").agg(F.min(F.array_min("at")).alias("first"), F.collect_list(F.struct("h", "at")).alias("seeds"))
-    moved = F.sort_array(F.transform("seeds", lambda s: F.concat_ws(" ", s["h"], F.concat_ws(" ", F.transform(s["at"], lambda p: (p - F.col("first")).cast("string"))))))
-    keyed = cut(firsts.select("doc_id", "first", F.md5(F.array_join(moved, ",")).alias("key")))
-    kin = keyed.groupBy("key").agg(F.min("doc_id").alias("kin"), (F.count("*") > 1).alias("many"))
-    return keyed.join(kin, "key").select("doc_id", "kin", "first", "many")
-
-
-def _for_kin(chained: DataFrame, kin: DataFrame) -> DataFrame:
-    """Chains of the lowest ids of kin as chains of every two members, lower id first."""
-    leads = kin.where("doc_id = kin")
-    moves = kin.join(leads.select("kin", F.col("first").alias("lead")), "kin").select("kin", "doc_id", (F.col("first") - F.col("lead")).alias("by"))
-    side = lambda who: moves.select(F.col("kin").alias(who), F.col("doc_id").alias(f"m_{who}"), F.col("by").alias(f"by_{who}"))
-    found = chained.join(side("a"), "a").join(side("b"), "b").where("a < b or m_a < m_b")
-    place = lambda edge, who: F.col(f"{edge}_{who}") + F.col(f"by_{who}")
-    either = lambda x, y: F.when(F.col("m_a") < F.col("m_b"), x).otherwise(y)
-    ends = [either(place(e, x), place(e, y)).alias(f"{e}_{x}") for x, y in ("ab", "ba") for e in ("from", "to")]
-    return found.select(F.least("m_a", "m_b").alias("a"), F.greatest("m_a", "m_b").alias("b"), "chain", "n_seeds", *ends)
+def _segments(windows: DataFrame) -> DataFrame:
+    """``doc_id``, ``at``, ``n``, ``hs``, ``sig``: runs of consecutive shared windows; equal ones have the same digest."""
+    once = windows.select("h", "doc_id", "at").distinct()
+    place = F.col("at") - F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "h"))
+    runs = once.withColumn("run", place).groupBy("doc_id", "run").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("at", "h"))).alias("all"))
+    hs = F.transform("all", lambda x: x["h"])
+    return runs.select("doc_id", "at", "n", hs.alias("hs"), F.md5(F.array_join(F.transform(hs, lambda x: x.cast("string")), ",")).alias("sig"))
 
 
 def _by_class(docs: DataFrame) -> DataFrame:
@@ -337,6 +411,7 @@ class SharedSpans:
             raise ValueError("k must be from 8 to below min_length")
         docs = docs.select("doc_id", "text").where(f"doc_id is not null and length(text) >= {int(min_length)}")
         self.min_length, self.k, self.hot, self.docs = min_length, k, hot, docs
+        self.reach = min_length - k, min_length + (min_length - k + 1) // 2
         self.classes = cut(_by_class(docs))
         copies = self.classes.where("doc_id <> rep").select("doc_id")
         # copies leave before anything is joined; a text is read again rather than shuffled
@@ -349,50 +424,92 @@ class SharedSpans:
         return self.docs.join(broadcast_if_bounded(needed, MAX_BROADCAST_IDS), "doc_id", "left_semi")
 
     @cached_property
-    def passages(self) -> DataFrame:
-        """One row for each chain of every pair of texts that share a seed, aligned."""
-        kin = cut(_kin(self.matched))
-        leads = self.matched.join(kin.where("doc_id = kin").select("doc_id", "many"), "doc_id").select("h", "doc_id", "at", "many")
-        chained = cut(_chain_table(_pairs(leads, "a < b or a = b and many"), self.k, self.min_length))
-        return _align(_for_kin(chained, kin), self._texts(kin.select("doc_id")), self.min_length)
-
-    @cached_property
-    def _exact(self) -> tuple[DataFrame, DataFrame]:
-        """Aligned chains of the groups that are not hot, and the shared windows of those that are."""
-        chained = cut(_chain_table(_pairs(self.matched.where(F.col("n") <= self.hot).select("h", "doc_id", "at")), self.k, self.min_length))
+    def segments(self) -> DataFrame:
+        """Shared text around hot seeds: ``sig``, ``doc_id``, ``at``, ``n`` (windows) and the windows' hashes."""
         busy = self.matched.where(F.col("n") > self.hot)
-        # only texts with a chain or a hot seed are read again
-        needed = chained.select(F.col("a").alias("doc_id")).union(chained.select("b")).union(busy.select("doc_id")).distinct()
-        involved = self._texts(needed)
-        windows = _hot_windows(involved, busy, self.min_length, self.k)
+        windows = cut(_hot_windows(self._texts(busy.select("doc_id").distinct()), busy, self.min_length, self.k))
         # a window that two texts share is itself an exact span
-        grouped = windows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-        return _align(chained, involved, self.min_length), cut(windows.join(grouped.select("h"), "h"))
+        shared = windows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+        return cut(_segments(windows.join(shared.select("h"), "h")))
+
+    def _seed_pairs(self) -> DataFrame:
+        """Pairs of texts that share a seed which is not hot, with the regions around their seeds."""
+        calm = self.matched.where(F.col("n") <= self.hot)
+        left = calm.select("h", F.col("doc_id").alias("a"), F.col("at").alias("at_a"))
+        right = calm.select("h", F.col("doc_id").alias("b"), F.col("at").alias("at_b"))
+        met = left.join(right, "h").where("a < b").groupBy("a", "b").agg(_places("at_a").alias("at_a"), _places("at_b").alias("at_b"))
+        region = lambda who: _regions(F.col(f"at_{who}"), *self.reach, sum(self.reach)).alias(f"regions_{who}")
+        return met.select("a", "b", F.lit(None).cast("string").alias("s"), F.lit(None).cast("string").alias("t"), region("a"), region("b"))
+
+    def _segment_pairs(self) -> DataFrame:
+        """Pairs of segment classes that share a window, with a text of each (two of a class by itself)."""
+        spot = F.struct("doc_id", "at", "n")
+        kinds = self.segments.groupBy("sig").agg(F.min(spot).alias("one"), F.max(spot).alias("other"), F.min_by("hs", spot).alias("hs"))
+        held = kinds.select("sig", F.explode(F.array_distinct("hs")).alias("h"))
+        met = held.withColumnRenamed("sig", "s").join(held.withColumnRenamed("sig", "t"), "h").where("s < t").select("s", "t").distinct()
+        met = met.union(kinds.where("one.doc_id < other.doc_id").select("sig", "sig"))
+        sides = met.join(kinds.select(F.col("sig").alias("s"), F.col("one").alias("x")), "s").join(kinds.select(F.col("sig").alias("t"), F.col("one"), F.col("other")), "t")
+        sides = sides.withColumn("y", F.when(F.col("s") == F.col("t"), F.col("other")).otherwise(F.col("one")))
+        region = lambda who: F.array(F.struct(F.col(f"{who}.at").alias("at"), (F.col(f"{who}.at") + F.col(f"{who}.n").cast("int") + self.min_length - 1).alias("to")))
+        return sides.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), "s", "t", region("x").alias("regions_a"), region("y").alias("regions_b"))
 
+    @cached_property
+    def aligned(self) -> DataFrame:
+        """Chained and aligned pairs: of texts (``s``, ``t`` null), and of segment classes by a text of each."""
+        pairs = cut(self._seed_pairs().union(self._segment_pairs()))
+        # only texts in a pair are read again
+        needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        return cut(_align(pairs, self._texts(needed), self.min_length))
+
+    @cached_property
     def representative_pairs(self) -> DataFrame:
-        aligned, windows = self._exact
-        return aligned.where("size(spans) > 0").select("a", "b").union(_pairs_by_signature(windows)).distinct()
+        """``a`` < ``b``: pairs between lowest ids of copies; together with ``classes`` the form for scale."""
+        members = self.segments.select("sig", "doc_id").distinct()
+        side = lambda key, who: members.select(F.col("sig").alias(key), F.col("doc_id").alias(who))
+        wide = self.aligned.where("s is not null").select("s", "t").join(side("s", "x"), "s").join(side("t", "y"), "t").where("x <> y")
+        both = wide.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        return cut(self.aligned.where("s is null").select("a", "b").union(both).distinct())
+
+    @cached_property
+    def passages(self) -> DataFrame:
+        """One row for each chain with a verbatim span of every pair in ``representative_pairs``: its ends in both texts, the number
+        of matches, code points in verbatim spans, equal code points and their share."""
+        placed = self.matched.groupBy("doc_id").agg(_places("at").alias("at"))
+        spots = placed.select("doc_id", _regions(F.col("at"), *self.reach, sum(self.reach) + MOST_GAP).alias("regions"))
+        pairs = self.representative_pairs
+        texts = self._texts(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+        parts = cut(spots.join(texts, "doc_id").select("doc_id", _parts(F.col("text"), F.col("regions")).alias("parts")))
+        side = lambda who: parts.select(F.col("doc_id").alias(who), F.col("parts").alias(f"parts_{who}"))
+        k, min_length = self.k, self.min_length
+        names = ("start_a", "end_a", "start_b", "end_b", "n_matches", "verbatim", "matched")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "parts_a", "parts_b"))):
+                    rows += [(a, b, *p) for p in passages(*(Pieces([(r["at"], r["text"]) for r in z]) for z in (x, y)), k, min_length)]
+                columns = list(zip(*rows)) if rows else [[]] * 9
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 7)], names=["a", "b", *names])
+
+        found = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, " + ", ".join(f"{n} int" for n in names))
+        return found.withColumn("share", F.col("matched") / F.greatest(F.col("end_a") - F.col("start_a"), F.col("end_b") - F.col("start_b")))
 
     def pairs(self) -> DataFrame:
         """Every pair of documents with a common span, copies included: ``doc_id_a`` < ``doc_id_b``."""
-        reps = cut(self.representative_pairs())
         members = self.classes
         a = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("m_a"))
         b = members.select(F.col("rep").alias("b"), F.col("doc_id").alias("m_b"))
-        crossed = reps.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("m_a", "a").alias("x"), F.coalesce("m_b", "b").alias("y"))
+        crossed = self.representative_pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("m_a", "a").alias("x"), F.coalesce("m_b", "b").alias("y"))
         within = members.select("rep", F.col("doc_id").alias("x")).join(members.select("rep", F.col("doc_id").alias("y")), "rep").where("x < y").select("x", "y")
         both = crossed.union(within).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
         return both.where("doc_id_a < doc_id_b")
 
     def shares(self) -> DataFrame:
         """Of each document with shared text: ``n_chars``, ``shared_chars``, ``share``.  One row for each, copies too."""
-        aligned, windows = self._exact
-        spans = aligned.select("a", "b", F.explode("spans").alias("s"))
-        found = (
-            spans.select(F.col("a").alias("doc_id"), F.col("s.a").alias("start"), (F.col("s.a") + F.col("s.n")).alias("end"))
-            .union(spans.select(F.col("b").alias("doc_id"), F.col("s.b").alias("start"), (F.col("s.b") + F.col("s.n")).alias("end")))
-            .union(windows.select("doc_id", F.col("at").alias("start"), (F.col("at") + self.min_length).alias("end")))
-        )
+        texts = self.aligned.where("s is null")
+        side = lambda who: texts.select(F.col(who).alias("doc_id"), F.explode(f"of_{who}").alias("x")).select("doc_id", F.col(f"x.{who}").alias("start"), (F.col(f"x.{who}") + F.col("x.n")).alias("end"))
+        hot = self.segments.select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("n") + self.min_length - 1).cast("int").alias("end"))
+        found = side("a").union(side("b")).union(hot)
         merged = found.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("all"))
         covered = F.aggregate("all", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda x, s: F.struct((x["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(x["to"], s["start"]))).alias("n"), F.greatest(x["to"], s["end"]).alias("to")))
         some = merged.select("doc_id", covered["n"].alias("shared_chars"))
@@ -400,4 +517,4 @@ class SharedSpans:
         repeated = self.classes.select("doc_id", F.lit(True).alias("whole"))
         joined = sized.join(some, "doc_id", "left").join(repeated, "doc_id", "left").where("whole or shared_chars is not null")
         n = F.when(F.col("whole"), F.col("n_chars")).otherwise(F.col("shared_chars"))
-        return joined.select("doc_id", "n_chars", n.alias("shared_chars"), (n / F.col("n_chars")).alias("share"))
+        return joined.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), n.cast("long").alias("shared_chars"), (n / F.col("n_chars")).alias("share"))

@@ -50,20 +50,65 @@ def corpus(seed, n=40):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("hot", [100, 2])
-def test_pairs_and_shares(spark, seed, hot):
+def test_results_at_every_hot(spark, seed):
     docs = corpus(seed)
     df = clashing(spark.createDataFrame(docs, "doc_id long, text string"))
-    found = spans.SharedSpans(df, 60, 24, hot)
-    got = [(r["doc_id_a"], r["doc_id_b"]) for r in found.pairs().collect()]
-    assert len(got) == len(set(got))
-    assert set(got) == brute(docs, 60)
-    if seed == 1:
-        shares = {r["doc_id"]: r["shared_chars"] for r in found.shares().collect()}
-        want = covered(docs, 60)
-        assert shares.keys() == want.keys()
-        # spans of a pair have one partner for each start, so periodic texts may cover a little less
-        assert all(shares[d] == want[d] for d in want if d < 100 or d >= 300)
+    passages = []
+    for hot in (2, 100, 1 << 40):
+        found = spans.SharedSpans(df, 60, 24, hot)
+        got = [(r["doc_id_a"], r["doc_id_b"]) for r in found.pairs().collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == brute(docs, 60)
+        assert {r["doc_id"]: r["shared_chars"] for r in found.shares().collect()} == covered(docs, 60)
+        passages.append(sorted(map(tuple, found.passages.collect())))
+    assert passages[0] and passages[0] == passages[1] == passages[2]
+
+
+@pytest.mark.parametrize("hot", [2, 100])
+def test_seeds_that_repeat_in_both_texts(spark, hot):
+    """A phrase that is too short for a case stands twelve times in each text; one span of each pair lies around one of them."""
+    r = random.Random(8)
+    text = lambda k: "".join(r.choice("abcdefghij ") for _ in range(k))
+    phrase = text(190)
+    own = [(text(5), text(5)) for _ in range(6)]
+    docs = []
+    for i in range(12):
+        places = [text(1500) + phrase + text(3) for _ in range(12)]
+        before, after = own[i // 2]
+        k = r.randrange(12)
+        places[k] = text(1500) + before + phrase + after + text(3)
+        docs.append((i, "".join(places)))
+    found = spans.SharedSpans(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot)
+    want = brute(docs, 200)
+    assert want == {(2 * i, 2 * i + 1) for i in range(6)}
+    assert {(x["doc_id_a"], x["doc_id_b"]) for x in found.pairs().collect()} == want
+    assert {x["doc_id"]: x["shared_chars"] for x in found.shares().collect()} == covered(docs, 200)
+    assert {(x["a"], x["b"]) for x in found.passages.collect()} == want
+
+
+def test_fuzzy_passage(spark):
+    """Words that differ between verbatim spans belong to the passage, and so do matches of k code points beside it."""
+    r = random.Random(12)
+    text = lambda k: "".join(r.choice("abcdefghij ") for _ in range(k))
+    a, b, c, d = text(260), text(230), text(150), text(120)
+    docs = [(1, text(300) + a + "XXXX same YYYYY" + b + "Q" + c + "Q" + d + text(50)), (2, text(10) + a + "ZZ same" + b + "R" + c + "R" + d + text(400))]
+    got = spans.SharedSpans(spark.createDataFrame(docs, "doc_id long, text string")).passages.collect()
+    assert len(got) == 1
+    assert got[0]["start_a"] == 300 and got[0]["start_b"] == 10
+    assert got[0]["verbatim"] == 490 and got[0]["n_matches"] == 4
+    assert got[0]["matched"] == 260 + len(" same ") - 1 + 230 + 150 + 120
+    assert got[0]["share"] > 0.97
+
+
+def test_lcs():
+    r = random.Random(2)
+    for _ in range(50):
+        x, y = ("".join(r.choice("abc") for _ in range(r.randrange(0, 30))) for _ in range(2))
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                table[i + 1][j + 1] = table[i][j] + 1 if p == q else max(table[i][j + 1], table[i + 1][j])
+        assert spans.lcs(spans.code_points(x), spans.code_points(y)) == table[-1][-1]
 
 
 def test_repeated_ids_nulls_and_empty(spark):
@@ -84,12 +129,12 @@ def test_winnowing_guarantee():
 
 
 def test_chaining():
-    line = [(i * 10, i * 10 + 7) for i in range(20)]
-    noise = [(35, 900), (500, 3)]
-    found = spans.chains(line + noise, 8)
+    line = [(i * 10, i * 10 + 7, 8) for i in range(20)]
+    noise = [(35, 900, 8), (500, 3, 8)]
+    found = spans.chains(line + noise)
     assert found[0] == line
     assert sorted(len(c) for c in found) == [1, 1, 20]
-    assert spans.chains([], 8) == []
+    assert spans.chains([]) == []
 
 
 def test_very_long_text(spark):
@@ -112,7 +157,7 @@ def test_passage_that_a_third_holds(spark):
     r = random.Random(9)
     text = lambda k: "".join(r.choice("abcdefghij ") for _ in range(k))
     passage, other = text(260), text(230)
-    docs = [(i, text(40) + (passage if i % 3 == 0 else text(50)) + text(40) + (other if i % 50 == 0 else "")) for i in range(450)]
+    docs = [(i, text(40) + (passage if i % 3 == 0 else text(50)) + text(40) + (other if i % 50 == 0 else "")) for i in range(330)]
     found = spans.SharedSpans(spark.createDataFrame(docs, "doc_id long, text string"))
     got = [(x["doc_id_a"], x["doc_id_b"]) for x in found.pairs().collect()]
     assert len(got) == len(set(got))
@@ -123,11 +168,11 @@ def test_passages_do_not_depend_on_group_size(spark):
     r = random.Random(11)
     text = lambda k: "".join(r.choice("abcdefghij ") for _ in range(k))
     passage, other = text(260), text(230)
-    docs = [(i, text(r.randrange(0, 300)) + passage + text(i % 5) + (other if i % 40 == 0 else text(40))) for i in range(130)]
-    passages = lambda rows: sorted((x["a"], x["b"], x["start_a"], x["end_a"], x["start_b"], x["end_b"], x["matched"]) for x in spans.SharedSpans(spark.createDataFrame(rows, "doc_id long, text string")).passages.collect())
+    docs = [(i, text(r.randrange(0, 300)) + passage + text(i % 5) + (other if i % 40 == 0 else text(40))) for i in range(110)]
+    passages = lambda rows: sorted((x["a"], x["b"], x["start_a"], x["end_a"], x["start_b"], x["end_b"], x["verbatim"]) for x in spans.SharedSpans(spark.createDataFrame(rows, "doc_id long, text string")).passages.collect())
     found = passages(docs)
     assert {x[:2] for x in found} == brute(docs, 200)
     assert all(x[6] >= 260 for x in found)
-    for few in (docs[:3], docs[79:82], [docs[0], docs[40], docs[80], docs[129]]):
+    for few in (docs[:3], docs[79:82], [docs[0], docs[40], docs[80], docs[109]]):
         ids = {d for d, _ in few}
         assert passages(few) == [x for x in found if x[0] in ids and x[1] in ids]
