@@ -1,15 +1,17 @@
 """Problem 4: text cut off by field limits or in mid-transfer.
 
-Values are reduced to forms (case folded, numbers and ids as ``#``), which are few, and every form is compared
-with its longer copies: the last ``WIDTH`` tokens of a form are joined by key with the same tokens inside longer
-forms, and its last ``WIDTH - 1`` full tokens with those that whole words follow (a fixed-length prefix of the longer
-copy; the form's last piece must then be a strict prefix of the word).  A form is cut where others go on and next to none
-end.  Names and other free words count as one placeholder, so copies need not be of the same object: a word is fixed
-if it is very frequent, or frequent with few neighbours on one side (a low perplexity).
+Values are reduced to forms (case folded, numbers and ids as ``#``, names and other free words as one placeholder), so that
+copies need not be of the same object.  A form is read in clauses (up to a full stop, comma or semicolon before a blank), and a
+prefix self-join finds forms that are strict prefixes of longer copies: every prefix of every clause is hashed with what
+follows it, and the whole of each last clause is joined with these hashes.  A last piece of a word is joined in the same way with
+the strict prefixes of the words that follow the same tokens elsewhere.  A form is cut where longer copies go on and next to none
+end: endings count only from rows that no limit can have cut.
 
 A text that fills its byte limit to the last byte is cut unless texts are known to end like that; those that
 a limit could have cut before a character of several bytes likewise, with a stricter test.
 
+All thresholds are counts of copies or ratios of counts at one place, so other rows of the table don't change a verdict.
+
 Defined cases: null and empty texts are no case; repeated rows are each a case; texts of sources without a known limit
 are judged by their copies alone; an empty table gives no rows; rates cover all rows with a text.
 """
@@ -19,28 +21,34 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import broadcast_if_bounded, cut
 
-WIDTH = 4
-#: One of so many last tokens must be a fixed word for others' going on to tell anything.
-EVIDENCE = 6
-#: A word is fixed from this share of all texts on, or from the lower one with a perplexity up to PERPLEXITY.
-COMMON, FREQUENT, PERPLEXITY = 0.02, 5e-4, 5.0
-#: Contexts in fewer than this share of texts (and LEAST texts) say nothing.
-SUPPORT, LEAST = 5e-5, 5
+#: Words seen less often are free; others are fixed if one side has few neighbours (a low perplexity), in itself or by comparison.
+LEAST_WORD, PERPLEXITY, UNEVEN = 20, 5.0, 2.0
+#: Prefixes with fewer longer copies say nothing.
+LEAST = 5
 #: Most that may end at a place, as a share of all that come to it, if endings there are cuts.
 ENDS, ENDS_AT_LIMIT = 0.08, 0.5
+#: One of so many last tokens must be a fixed word for others' going on to tell anything.
+EVIDENCE = 6
+FREE = "¤"
+#: Marks that close a sentence: where the clause before is too rare to tell, three tokens that end so decide.
+CLOSING = frozenset(".!?。！？")
+#: Fixed words are broadcast up to this many, beyond it joined through a shuffle.
+MAX_BROADCAST_WORDS = 200_000
 
 _UUID = r"(?<![\p{L}\d])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![\p{L}\d])"
 _PART = r"(?<![\p{L}\d])[0-9a-f]{8}-(?:[0-9a-f]{0,4}|(?:[0-9a-f]{4}-){1,3}[0-9a-f]{0,11})$"
 _VALUE = r"(?<![\p{L}\d])(?:(?=[a-f]*\d)[0-9a-f]{4,}|[0-9a-f]{8,})(?![\p{L}\d])|\d+(?:[.,]\d+)*"
 # characters beyond ASCII belong to words, as symbols stand inside words that were wrongly decoded
-_TOKEN = re.compile(r"#|\.{3,}|…|(?:[^\W\d_]|[^\x00-\x7f\s…])+|[^\w\s]|_|\d")
+# characters beyond ASCII belong to words, as symbols stand inside words that were wrongly decoded
+_TOKEN = re.compile(r"#|\.{3,}|…|(?:[^\W\d_]|[^\x00-\x7f\s…])+|[.,;](?=\s)|[^\w\s]|_|\d")
 
 
 def form(text) -> F.Column:
@@ -48,14 +56,42 @@ def form(text) -> F.Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(folded, _UUID, "#"), _PART, "# ~"), _VALUE, "#")
 
 
-def tokens_of(text: str) -> list[str]:
-    return ["…" if t[:3] == "..." else t for t in _TOKEN.findall(text)]
+def tokens_of(text: str) -> tuple[list[str], list[bool]]:
+    """Tokens of a form, and after which of them a clause begins."""
+    tokens, breaks = [], []
+    for m in _TOKEN.finditer(text):
+        t = m[0]
+        tokens.append("…" if t[:3] == "..." else t)
+        breaks.append(t in ".,;" and text[m.end() : m.end() + 1].isspace())
+    return tokens, breaks
 
 
 def _is_word(t: str) -> bool:
     return any(c.isalpha() for c in t)
 
 
+_STEPS: dict[tuple[int, str], int] = {}
+
+
+def step(before: int, token: str) -> int:
+    """Hash of a prefix from the hash of the prefix before its last token; 0 is the start of a clause."""
+    key = before, token
+    if key not in _STEPS:
+        if len(_STEPS) > 200_000:
+            _STEPS.clear()
+        _STEPS[key] = int.from_bytes(blake2b(before.to_bytes(8, "little", signed=True) + token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return _STEPS[key]
+
+
+def word_starts(word: str) -> list[int]:
+    """Hashes of the strict prefixes of a word, character by character."""
+    out, h = [], 0
+    for c in word[:-1]:
+        h = step(h, c)
+        out.append(h)
+    return out
+
+
 def neighbours(forms: DataFrame) -> DataFrame:
     """``a``, ``b``, ``n``: how often token b follows token a (``^`` and ``$`` stand for the ends)."""
 
@@ -63,7 +99,7 @@ def neighbours(forms: DataFrame) -> DataFrame:
         for pdf in batches:
             found: Counter = Counter()
             for text, n in zip(pdf["form"], pdf["n"]):
-                t = tokens_of(text)
+                t, _ = tokens_of(text)
                 for pair in zip(["^", *t], [*t, "$"]):
                     found[pair] += n
             yield pd.DataFrame([(a, b, n) for (a, b), n in found.items()], columns=["a", "b", "n"])
@@ -71,106 +107,126 @@ def neighbours(forms: DataFrame) -> DataFrame:
     return forms.mapInPandas(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def fixed_words(pairs: DataFrame, total: int) -> set[str]:
-    """Words of the fixed parts.  Each makes up FREQUENT of all texts at least, which bounds their number."""
+def fixed_words(pairs: DataFrame) -> DataFrame:
+    """``word``, ``n``, ``fixed`` of words seen ``LEAST_WORD`` times: whether they belong to fixed parts of texts."""
     nlogn = F.sum(F.col("n") * F.log("n")).alias("s")
     perplexity = F.exp(F.log("n") - F.col("s") / F.col("n"))
 
     def side(word: str) -> DataFrame:
-        return pairs.groupBy(F.col(word).alias("word")).agg(nlogn, F.sum("n").alias("n")).select("word", F.col("n").alias(f"n_{word}"), perplexity.alias(f"p_{word}"))
+        return pairs.groupBy(F.col(word).alias("word")).agg(nlogn, F.sum("n").alias("n")).where(F.col("n") >= LEAST_WORD).select("word", F.col("n").alias(f"n_{word}"), perplexity.alias(f"p_{word}"))
+
+    low, high = F.least("p_a", "p_b"), F.greatest("p_a", "p_b")
+    return side("b").join(side("a"), "word").where("word rlike '\\\\p{L}'").select("word", F.col("n_b").alias("n"), ((low <= PERPLEXITY) | (high >= UNEVEN * low)).alias("fixed"))
+
+
+def _masked(forms: DataFrame, words: DataFrame) -> DataFrame:
+    """Forms with the list of fixed words they hold, gathered by a join, so that no list of all words goes to one place."""
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(text, t) for text in pdf["form"] for t in {x for x in tokens_of(text)[0] if _is_word(x)}]
+            yield pd.DataFrame(rows, columns=["form", "word"])
 
-    least = max(LEAST, FREQUENT * total)
-    both = side("b").where(F.col("n_b") >= least).join(side("a"), "word")
-    kept = both.where((F.col("n_b") >= max(LEAST, COMMON * total)) | (F.least("p_a", "p_b") <= PERPLEXITY))
-    return {r["word"] for r in kept.select("word").collect() if _is_word(r["word"])}
+    held = forms.select("form").mapInPandas(tokens, "form string, word string")
+    fixed = held.join(broadcast_if_bounded(words.where("fixed").select("word"), MAX_BROADCAST_WORDS), "word").groupBy("form").agg(F.collect_list("word").alias("fixed"))
+    return forms.join(fixed, "form", "left")
 
 
-def _contexts(forms: DataFrame, words) -> DataFrame:
-    """``kind`` c: context tokens with how many texts go on and end there; ``kind`` t: the tail of each form."""
+def _contexts(masked: DataFrame) -> DataFrame:
+    """``kind`` f: token ``word`` follows prefix ``key`` in ``n`` texts; e: ``n`` texts end there; t: the tail of each form, with
+    the prefix up to its end and up to its last token (``key``, ``before``), ``free``, the former with a free last word,
+    ``start``, the hash of the last word's characters, and ``short``, the last three tokens if the last one closes a sentence."""
+    names = ["kind", "form", "key", "before", "free", "short", "start", "word", "evidence", "dots", "partial", "n"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fixed = words.value
         for pdf in batches:
-            goes_on: Counter = Counter()
+            follows: Counter = Counter()
             ends: Counter = Counter()
             tails = []
-            for text, n in zip(pdf["form"], pdf["n"]):
-                raw = tokens_of(text)
+            for text, n, n_free, fixed in zip(pdf["form"], pdf["n"], pdf["n_free"], pdf["fixed"]):
+                raw, breaks = tokens_of(text)
                 if not raw:
                     continue
+                known = set(() if fixed is None else fixed)
                 partial = len(raw) > 1 and raw[-2:] == ["#", "~"]
                 if partial:
                     raw.pop()
-                masked = ["^"] * WIDTH + [t if not _is_word(t) or t in fixed else "¤" for t in raw]
-                keys = [" ".join(masked[i - WIDTH : i]) for i in range(WIDTH + 1, len(masked) + 1)]
-                for k in keys[:-1]:
-                    goes_on[k] += n
-                if not partial:
-                    ends[keys[-1]] += n
                 dots = raw[-1] == "…" and len(raw) > 1
-                last = len(masked) - dots
-                # a last word that isn't known here as such may be part of a free one
-                ctx = masked[last - WIDTH : last]
-                free = [*ctx[:-1], "¤"] if _is_word(ctx[-1]) else ctx
-                tails.append((text, " ".join(ctx), " ".join(free), " ".join(ctx[1:]), " ".join(masked[last - WIDTH : last - 1]), raw[-1 - dots], any(map(_is_word, masked[max(0, last - EVIDENCE) : last])), bool(dots), partial, n))
-            yield pd.DataFrame(
-                [("c", None, k, None, None, None, None, None, None, None, goes_on[k], ends[k]) for k in {**goes_on, **ends}] + [("t", f, c, cf, c3, p, w, ev, d, part, n, 0) for f, c, cf, c3, p, w, ev, d, part, n in tails],
-                columns=["kind", "form", "ctx", "free", "ctx3", "prefix", "piece", "evidence", "dots", "partial", "n", "ends"],
-            )
+                masked = [t if not _is_word(t) or t in known else FREE for t in raw]
+                key, shown = 0, len(raw) - dots
+                for i, (t, m, b) in enumerate(zip(raw, masked, breaks)):
+                    before = key
+                    follows[key, t] += n
+                    key = step(key, m)
+                    if i == shown - 1:
+                        last, tail, free = before, key, step(before, FREE) if _is_word(t) else key
+                    if b:
+                        follows[key, ""] += n
+                        key = 0
+                if n_free and not partial:
+                    ends[key] += n_free
+                word = raw[shown - 1]
+                short = 0
+                for i in [i for i, t in enumerate(raw[:shown]) if t in CLOSING and i > 1]:
+                    short = step(step(step(-1, masked[i - 2]), masked[i - 1]), raw[i])
+                    if i < shown - 1:
+                        follows[short, ""] += n
+                        short = 0
+                    else:
+                        ends[short] += n
+                tails.append(("t", text, tail, last, free, short, word_starts(word + " ")[-1], word, any(t in known for t in raw[max(0, shown - EVIDENCE) : shown]), dots, partial, n))
+            rows = [("f", None, k, 0, 0, 0, 0, w, False, False, False, n) for (k, w), n in follows.items()] + [("e", None, k, 0, 0, 0, 0, None, False, False, False, n) for k, n in ends.items()]
+            yield pd.DataFrame(rows + tails, columns=names)
+
+    return masked.select("form", "n", "n_free", "fixed").mapInPandas(run, "kind string, form string, key long, before long, free long, short long, start long, word string, evidence boolean, dots boolean, partial boolean, n long")
+
+
+def _longer_words(follow: DataFrame, words: DataFrame, tails: DataFrame) -> DataFrame:
+    """``before``, ``word``, ``half``, ``half_at_limit``: last pieces that are strict prefixes of words which follow the same tokens
+    in longer copies (fixed words), or that stand there and are frequent (free ones)."""
+    letters = "word rlike '\\\\p{L}'"
+    known = follow.where(letters).join(words, "word").where((F.col("k") >= LEAST) | ~F.col("fixed"))
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(key, h, k, n, fixed) for key, word, k, n, fixed in zip(pdf["key"], pdf["word"], pdf["k"], pdf["n"], pdf["fixed"]) for h in word_starts(word)]
+            yield pd.DataFrame(rows, columns=["before", "start", "k", "n", "fixed"])
 
-    return forms.mapInPandas(run, "kind string, form string, ctx string, free string, ctx3 string, prefix string, piece string, evidence boolean, dots boolean, partial boolean, n long, ends long")
+    starts = known.select("key", "word", "k", "n", "fixed").mapInPandas(expand, "before long, start long, k long, n long, fixed boolean")
+    best = starts.groupBy("before", "start").agg(F.max(F.when(F.col("fixed"), F.col("k"))).alias("k_fixed"), F.max(F.when(~F.col("fixed"), F.col("n"))).alias("n_free"))
+    pieces = tails.where(letters).select("before", "start", "word").distinct()
+    found = pieces.join(best, ["before", "start"]).join(follow.select(F.col("key").alias("before"), "word", F.col("k").alias("m")), ["before", "word"]).join(words.select("word", F.col("n").alias("n_piece")), "word", "left")
+    part = F.coalesce("n_piece", "m") <= ENDS * F.col("n_free")
+    some = lambda c: F.coalesce(c, F.lit(False))
+    return found.select("before", "word", (some(F.col("m") <= ENDS * F.col("k_fixed")) | some(part)).alias("half"), (some(F.col("m") <= ENDS_AT_LIMIT * F.col("k_fixed")) | some(part)).alias("half_at_limit")).where("half_at_limit")
 
 
-def judge_forms(forms: DataFrame, total: int) -> DataFrame:
-    """``form`` and its verdicts: ``cut_inside`` (away from any limit), ``cut_near`` and ``cut_at`` a limit."""
+def judge_forms(forms: DataFrame) -> DataFrame:
+    """``form`` (with ``n`` rows, ``n_free`` of them clear of any limit) and its verdicts: ``cut_inside`` (away from any limit),
+    ``cut_near`` and ``cut_at`` a limit."""
     pairs = cut(neighbours(forms))
-    words = forms.sparkSession.sparkContext.broadcast(fixed_words(pairs, total))
-    found = cut(_contexts(forms, words))
-    least = max(LEAST, SUPPORT * total)
-    context = found.where("kind = 'c'").groupBy("ctx").agg(F.sum("n").alias("on"), F.sum("ends").alias("ends")).where(F.col("on") + F.col("ends") >= least)
-    shorter = context.groupBy(F.regexp_replace("ctx", r"^\S+ ", "").alias("ctx3")).agg(F.sum("on").alias("on3"), F.sum("ends").alias("ends3"))
-    as_free = context.select(F.col("ctx").alias("free"), F.col("on").alias("on_f"), F.col("ends").alias("ends_f"))
-    tails = found.where("kind = 't'").select("form", "ctx", "free", "ctx3", "prefix", "piece", "evidence", "dots", "partial", "n")
-    # prefix self-join: the word that follows the same WIDTH - 1 tokens elsewhere, longer than the piece
-    word = F.element_at(F.split("ctx", " "), -1)
-    follow = context.select(F.regexp_replace("ctx", r" \S+$", "").alias("prefix"), word.alias("word"), (F.col("on") + F.col("ends")).alias("k")).where("word rlike '\\\\p{L}'")
-    same = tails.where("piece rlike '\\\\p{L}'").groupBy("prefix", "piece").agg(F.sum("n").alias("t"))
-    longer = same.join(follow, "prefix").where("startswith(word, piece) and word <> piece").groupBy("prefix", "piece").agg(F.max("k").alias("k"), F.first("t").alias("t"))
-    part_names = _part_names(same, pairs, least)
-    dotted = tails.where("dots").groupBy("ctx").agg(F.sum("n").alias("dotted"))
-    joined = tails.join(context, "ctx", "left").join(shorter, "ctx3", "left").join(longer, ["prefix", "piece"], "left").join(part_names, ["prefix", "piece"], "left").join(as_free, "free", "left").join(dotted, "ctx", "left").na.fill(False, ["part_name"]).na.fill(0, ["on_f", "ends_f", "on", "ends", "on3", "ends3", "k", "t", "dotted"])
+    words = cut(fixed_words(pairs))
+    found = cut(_contexts(_masked(forms, words)))
+    follow = cut(found.where("kind = 'f'").groupBy("key", "word").agg(F.sum("n").alias("k")))
+    ended = found.where("kind = 'e'").select("key", F.lit(0).cast("long").alias("k"), F.col("n").alias("e"))
+    context = follow.select("key", "k", F.lit(0).cast("long").alias("e")).union(ended).groupBy("key").agg(F.sum("k").alias("on"), F.sum("e").alias("ends")).where(F.col("on") + F.col("ends") >= LEAST)
+    tails = found.where("kind = 't'").select("form", "key", "before", "free", "short", "start", "word", "evidence", "dots", "partial", "n")
+    as_free = context.select(F.col("key").alias("free"), F.col("on").alias("on_f"), F.col("ends").alias("ends_f"))
+    closed = context.select(F.col("key").alias("short"), F.col("on").alias("on_s"), F.col("ends").alias("ends_s"))
+    halves = _longer_words(follow, words, tails)
+    dotted = tails.where("dots").groupBy("key").agg(F.sum("n").alias("dotted"))
+    joined = tails.join(context, "key", "left").join(halves, ["before", "word"], "left").join(as_free, "free", "left").join(closed, "short", "left").join(dotted, "key", "left")
+    joined = joined.na.fill(False, ["half", "half_at_limit"]).na.fill(0, ["on", "ends", "on_f", "ends_f", "on_s", "ends_s", "dotted"])
+    known = F.when(F.col("dots"), F.col("dotted")).otherwise(F.col("ends"))
     all_ = F.col("on") + F.col("ends")
-
-    def complete(ends) -> F.Column:
-        known = F.when(F.col("dots"), F.col("dotted")).otherwise(F.col("ends"))
-        # where the context is too rare to tell, one token less decides
-        known3, all3 = F.when(F.col("dots"), 0).otherwise(F.col("ends3")), F.col("on3") + F.col("ends3")
-        return ~F.col("partial") & F.when(all_ >= least, (known >= least) & (known > ends * all_)).otherwise((known3 >= least) & (known3 > ends * all3))
-
+    closes = lambda share: (all_ < LEAST) & (F.col("ends_s") >= LEAST) & (F.col("ends_s") > share * (F.col("on_s") + F.col("ends_s")))
+    complete = lambda share: ~F.col("partial") & ((known >= LEAST) & (known > share * all_) | ~F.col("dots") & closes(share))
     on = F.col("on") - F.when(F.col("dots"), F.col("dotted")).otherwise(0)
-    goes_on = (on >= least) & F.col("evidence") & (F.col("partial") | F.col("dots") | (F.col("ends") <= ENDS * all_))
-    half_word = (F.col("k") >= least) & (F.col("t") <= ENDS * F.col("k"))
-    half_at_limit = (F.col("k") >= least) & (F.col("t") <= ENDS_AT_LIMIT * F.col("k"))
-    unfinished = F.col("partial") & (all_ >= least)
-    free_goes_on = (all_ < least) & (F.col("on_f") >= least) & F.col("evidence") & ~F.col("dots") & (F.col("ends_f") <= ENDS * (F.col("on_f") + F.col("ends_f")))
-    part_word = half_word | (F.col("part_name") & ~F.col("partial"))
-    inside = (goes_on | part_word | unfinished | free_goes_on) & ~(F.col("dots") & complete(ENDS))
-    known_word = complete(ENDS) & ~part_word
-    return joined.select("form", (inside & ~known_word).alias("cut_inside"), (inside | ~complete(ENDS)).alias("cut_near"), (inside | half_at_limit | ~complete(ENDS_AT_LIMIT)).alias("cut_at"))
-
-
-def _part_names(same: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """``prefix``, ``piece``, ``part_name``: rare last words that a frequent word of the same place goes on from.
-
-    Words of a place are sorted: those that a piece begins follow it directly, so the next frequent word tells.
-    """
-    counts = pairs.groupBy(F.col("b").alias("piece")).agg(F.sum("n").alias("n"))
-    words = same.join(counts, "piece")
-    frequent = F.col("n") >= 4 * least
-    following = Window.partitionBy("prefix").orderBy("piece").rowsBetween(1, Window.unboundedFollowing)
-    after = F.first(F.when(frequent, F.struct("piece", "n")), ignorenulls=True).over(following)
-    told = words.withColumn("after", after)
-    return told.where(F.startswith(F.col("after.piece"), F.col("piece")) & (F.col("n") <= ENDS * F.col("after.n"))).select("prefix", "piece", F.lit(True).alias("part_name"))
+    goes_on = (on >= LEAST) & F.col("evidence") & (F.col("partial") | F.col("dots") | (F.col("ends") <= ENDS * all_))
+    free_goes_on = (all_ < LEAST) & (F.col("on_f") >= LEAST) & F.col("evidence") & ~F.col("dots") & (F.col("ends_f") <= ENDS * (F.col("on_f") + F.col("ends_f")))
+    half = F.col("half") & ~F.col("partial")
+    inside = (goes_on | half | (F.col("partial") & (all_ >= LEAST)) | free_goes_on) & ~(complete(ENDS) & (F.col("dots") | ~half))
+    return joined.select("form", inside.alias("cut_inside"), (inside | ~complete(ENDS)).alias("cut_near"), (inside | F.col("half_at_limit") | ~complete(ENDS_AT_LIMIT)).alias("cut_at"))
 
 
 def byte_limits(sources: DataFrame, columns: DataFrame, name: str = "message") -> DataFrame:
@@ -183,13 +239,14 @@ def byte_limits(sources: DataFrame, columns: DataFrame, name: str = "message") -
 def judge_texts(df: DataFrame, limits: DataFrame, row_id: str = "line_id", source: str = "logsource", text: str = "message") -> DataFrame:
     """``row_id``, ``source``, ``is_cut`` of every row with a text.  ``limits``: ``logsource``, ``max_bytes``."""
     rows = df.where(f"`{text}` is not null and `{text}` <> ''").select(F.col(row_id), F.col(source), F.col(text).alias("__text"))
-    formed = rows.withColumn("form", form(F.col("__text"))).withColumn("bytes", F.octet_length("__text")).drop("__text")
-    forms = cut(formed.groupBy("form").agg(F.count("*").alias("n")))
-    total = forms.agg(F.sum("n")).first()[0] or 0
-    verdicts = judge_forms(forms, total).where("cut_inside or cut_near or cut_at")
-    keyed = formed.select(row_id, source, "bytes", F.xxhash64("form").alias("key"))
     known = limits.select(F.col("logsource").alias(source), "max_bytes")
-    judged = keyed.join(known, source, "left").join(verdicts.withColumn("key", F.xxhash64("form")).drop("form"), "key", "left")
+    formed = rows.withColumn("form", form(F.col("__text"))).withColumn("bytes", F.octet_length("__text")).drop("__text").join(broadcast_if_bounded(known), source, "left")
+    clear = F.coalesce(F.col("bytes") < F.col("max_bytes") - 3, F.lit(True))
+    forms = cut(formed.groupBy("form").agg(F.count("*").alias("n"), F.count_if(clear).alias("n_free")))
+    verdicts = judge_forms(forms).where("cut_inside or cut_near or cut_at")
+    # forms are met by 128 bits of their text
+    keys = [F.xxhash64("form").alias("key"), F.xxhash64(F.lit(1), "form").alias("key2")]
+    judged = formed.select(row_id, source, "bytes", "max_bytes", *keys).join(verdicts.select("cut_inside", "cut_near", "cut_at", *keys), ["key", "key2"], "left")
     at = F.col("bytes") == F.col("max_bytes")
     near = F.col("bytes").between(F.col("max_bytes") - 3, F.col("max_bytes") - 1)
     is_cut = F.when(at, F.col("cut_at")).when(near, F.col("cut_near")).otherwise(F.col("cut_inside"))

@@ -136,3 +136,33 @@ def test_limits(spark):
     sources = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z"), ("d", None)], "logsource string, schema_name string")
     columns = spark.createDataFrame([("x", "message", "str"), ("y", "message", ":77"), ("z", "message", "int"), ("y", "other", "str:3")], "schema_name string, name string, pv_type string")
     assert {r[0]: r[1] for r in cutoff.byte_limits(sources, columns).collect()} == {"a": 256, "b": 77, "c": None}
+
+
+@pytest.mark.parametrize("others", [500, 300_000])
+def test_verdicts_do_not_depend_on_other_rows(spark, others):
+    """Three cut texts among two hundred complete ones are found beside any number of other rows."""
+    from pyspark.sql import functions as F
+
+    names = ["bado", "felimo", "gurane", "kolavi", "ludi", "mesato", "niru", "pavole"]
+    rows = [(i, None, f"turbine {names[i % 8]} spun up after {i % 37} attempts on rail {i % 5}") for i in range(200)]
+    rows += [(1000, None, "turbine felimo spun up aft"), (1001, None, "turbine niru spun"), (1002, None, "turbine ludi spun up after 3 attempts")]
+    few = spark.createDataFrame(rows, "line_id long, logsource string, message string")
+    many = spark.range(5000, 5000 + others).select(F.col("id").alias("line_id"), F.lit("s").alias("logsource"), F.concat(F.lit("conveyor moved crate "), F.col("id").cast("string"), F.lit(" to shelf "), (F.col("id") % 90).cast("string")).alias("message"))
+    judged = cutoff.judge_texts(few.union(many), spark.createDataFrame([("s", 256)], "logsource string, max_bytes int"))
+    assert sorted(r["line_id"] for r in judged.where("is_cut").collect()) == [1000, 1001, 1002]
+
+
+def test_values_cut_at_one_place_do_not_vouch_for_themselves(spark):
+    """A limit that cuts every text of a source at the same token; other sources show that they go on."""
+    whole = [f"probe {1000 + i} measured the northern basin and reported nominal pressure" for i in range(40)]
+    limit = len("probe 1000 measured the northern")
+    rows = [(i, "s", t[:limit]) for i, t in enumerate(whole)] + [(100 + i, "u", t) for i, t in enumerate(whole[:12])]
+    df = spark.createDataFrame(rows, "line_id long, logsource string, message string")
+    judged = cutoff.judge_texts(df, spark.createDataFrame([("s", limit), ("u", 256)], "logsource string, max_bytes int"))
+    assert sorted(r["line_id"] for r in judged.where("is_cut").collect()) == list(range(40))
+
+
+def test_strict_prefixes_of_words():
+    assert len(cutoff.word_starts("abc")) == 2
+    assert cutoff.word_starts("abc")[1] == cutoff.word_starts("ab ")[-1]
+    assert cutoff.word_starts("x") == []
