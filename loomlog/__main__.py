@@ -17,7 +17,7 @@ def main(argv: list[str] | None = None) -> int:
     config = load(argv)
     from pyspark.sql import SparkSession
 
-    from .engine import run_batch, run_stream
+    from .engine import run_batch, run_stream, stop_stream
 
     spark = SparkSession.builder.appName("loomlog").getOrCreate()
     if isinstance(parse_input(config.input), ServerAddress):
@@ -25,8 +25,7 @@ def main(argv: list[str] | None = None) -> int:
         try:
             query.awaitTermination()
         except KeyboardInterrupt:
-            query.processAllAvailable()
-            query.stop()
+            stop_stream(query)
     else:
         run_batch(spark, config)
     return 0

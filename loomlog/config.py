@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import re
 from dataclasses import dataclass, field, fields
 from typing import Any
@@ -10,6 +11,9 @@ from typing import Any
 from .functions.typespec import TypeSpec, parse_spec
 
 
+log = logging.getLogger(__name__)
+
+
 class ConfigError(ValueError):
     """A configuration that can't be used."""
 
@@ -88,6 +92,8 @@ class EngineConfig:
     scope: str = "batch"
     on_error: str = "fail"  # or skip_batch
     default_year: int | None = None
+    rejects: str = "-"  # rejected messages: - for standard error, none, or a folder of CSV files
+    single_file: bool = False  # output is one local file that is appended to, in place of a folder
 
     def __post_init__(self) -> None:
         if self.output_format not in ("csv", "sql", "jdbc"):
@@ -110,6 +116,9 @@ class EngineConfig:
         return self.output_table_name or self.grok_pattern
 
 
+#: Options of other set-ups that are accepted without effect, and why.
+IGNORED = {"rayon_threads": "the session's cores set the parallelism"}
+
 _PATTERN = re.compile(r"(\S+)\s+(.+)$", re.S)
 
 
@@ -127,7 +136,12 @@ def _normal(raw: dict[str, Any]) -> dict[str, Any]:
     out = {}
     for key, value in raw.items():
         name = key.replace("-", "_").lower()
-        name = {"output_batch": "output_batch_size", "async_channel_size": "channel_size", "grok_schema_columns": "columns"}.get(name, name)
+        name = {"output_batch": "output_batch_size", "async_channel_size": "channel_size", "grok_schema_columns": "columns", "grok_extra_patterns": "grok_patterns"}.get(name, name)
+        if name in IGNORED:
+            log.info("option %s has no effect: %s", key, IGNORED[name])
+            continue
+        if name == "grok_load_default":
+            name, value = "grok_ignore_default_patterns", None if value is None else not value
         if name not in known:
             raise ConfigError(f"unknown option {key!r}")
         if value is None:
@@ -177,6 +191,8 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--scope", choices=["global", "batch"])
     p.add_argument("--on-error", choices=["fail", "skip_batch"])
     p.add_argument("--default-year", type=int)
+    p.add_argument("--rejects", help="rejected messages with their reasons: - for standard error (the default), none, or a folder")
+    p.add_argument("--single-file", action="store_true", default=None, help="append the output to one local file")
     return p
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import logging
+import os
 import sys
+import tempfile
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,12 +48,22 @@ class Engine:
     def write(self, df: DataFrame, ddl: bool) -> None:
         c = self.config
         if c.output_format == "csv":
-            formats.write_csv(df, c.output, add_header=ddl)
+            formats.write_csv(df, c.output, add_header=ddl, append_to_file=c.single_file)
         elif c.output_format == "sql":
-            formats.write_sql(df, c.output, c.table_name, c.output_batch_size, ddl, c.ddl_pre_name_opts, c.ddl_table_opts)
+            formats.write_sql(df, c.output, c.table_name, c.output_batch_size, ddl, c.ddl_pre_name_opts, c.ddl_table_opts, append_to_file=c.single_file)
         else:
             formats.write_jdbc(df, c.output, c.table_name, c.output_batch_size)
 
+    def write_rejects(self, rejected: DataFrame) -> None:
+        """Rejected messages with their reasons, to standard error or a folder of CSV files."""
+        if self.config.rejects == "none":
+            return
+        if self.config.rejects != "-":
+            formats.write_csv(rejected, self.config.rejects)
+            return
+        for r in rejected.toLocalIterator():
+            print(f"rejected: {r['desc']}: {r['raw_msg']}", file=sys.stderr)
+
 
 def prepare(config: EngineConfig) -> Engine:
     """Checks patterns, columns and the query of a configuration."""
@@ -75,10 +88,8 @@ def run_batch(spark: SparkSession, config: EngineConfig) -> None:
     else:
         messages = framing.read_messages(spark, config.input, config.merge_multi_line)
     result, rejected = engine.run(messages)
-    bad = rejected.count() if log.isEnabledFor(logging.INFO) else None
-    if bad:
-        log.info("%d messages were rejected", bad)
     engine.write(result, config.output_add_ddl)
+    engine.write_rejects(rejected)
 
 
 def run_stream(spark: SparkSession, config: EngineConfig, sink=None, checkpoint: str | None = None) -> StreamingQuery:
@@ -95,6 +106,9 @@ def run_stream(spark: SparkSession, config: EngineConfig, sink=None, checkpoint:
     engine = prepare(config)
     syslog.register(spark)
     options = {"proto": address.proto, "host": address.host, "port": address.port, "merge": str(config.merge_multi_line).lower(), "batchSize": config.output_batch_size, "idleTimeout": config.idle_timeout, "channelSize": max(config.channel_size, config.output_batch_size)}
+    # the listener runs in a process of its own on the driver's machine; this file's existence tells it to close
+    closing = os.path.join(tempfile.mkdtemp(prefix="loomlog-stream-"), "close")
+    options["closeFile"] = closing
     stream = spark.readStream.format(syslog.NAME).options(**{k: str(v) for k, v in options.items()}).load()
     wrote = False
 
@@ -107,12 +121,13 @@ def run_stream(spark: SparkSession, config: EngineConfig, sink=None, checkpoint:
             # messages of all senders share one queue, and batches are cut from it in order of arrival
             first = df.agg(F.min("_seq")).first()[0]
             messages = df.select(F.lit("-").alias("_file"), (F.col("_seq") - F.lit(first)).alias("_seq"), F.col("_file").alias("_sender"), "_raw")
-            result, _ = engine.run(messages.drop("_sender"))
+            result, rejected = engine.run(messages.drop("_sender"))
             if sink is not None:
                 sink(result, batch_id)
             else:
                 engine.write(result, config.output_add_ddl and not wrote)
                 wrote = True
+            engine.write_rejects(rejected)
         except Exception:
             if config.on_error == "fail":
                 raise
@@ -123,7 +138,22 @@ def run_stream(spark: SparkSession, config: EngineConfig, sink=None, checkpoint:
     writer = stream.writeStream.foreachBatch(process).trigger(processingTime=f"{config.tick_interval} seconds")
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
-    return writer.start()
+    query = writer.start()
+    query.loomlog_close_file = closing
+    return query
+
+
+def stop_stream(query: StreamingQuery, patience: float = 60.0) -> None:
+    """Stops a syslog server without loss: no more is received, unfinished lines and held messages come out, everything that waits
+    is processed, and then the query ends.  ``patience``: most seconds to wait for the listener to close."""
+    if query.isActive:
+        with open(query.loomlog_close_file, "w"):
+            pass
+        end = time.monotonic() + patience
+        while query.isActive and os.path.exists(query.loomlog_close_file) and time.monotonic() < end:
+            time.sleep(0.05)
+        query.processAllAvailable()
+    query.stop()
 
 
 def default_patterns(spark: SparkSession) -> DataFrame:

@@ -2,10 +2,15 @@ r"""Grok patterns: named regular expressions that refer to each other as ``%{NAM
 
 An expression is expanded on the driver into one regular expression that Java and Python read alike, with plain groups:
 captures are found by position.  Matching is unanchored.
+
+Java matches an unbounded repeat of a group by recursion, one level a pass, so that a long text overflows the stack of its
+executor.  The default patterns repeat single characters, possessive groups or a bounded number of times; ``expand`` warns of
+others (:func:`deep_repeats`).
 """
 
 from __future__ import annotations
 
+import logging
 import re
 from dataclasses import dataclass
 
@@ -24,21 +29,21 @@ PATTERNS = {
     "SPACE": r"\s*",
     "DATA": r".*?",
     "GREEDYDATA": r".*",
-    "QUOTEDSTRING": r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'",
+    "QUOTEDSTRING": r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+'",
     "UUID": r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
     "MAC": r"(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}",
     "IPV4": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])",
     "IPV6": r"(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}",
     "IP": r"(?:%{IPV6}|%{IPV4})",
-    "HOSTNAME": r"[0-9A-Za-z](?:[0-9A-Za-z_-]*[0-9A-Za-z])?(?:\.[0-9A-Za-z](?:[0-9A-Za-z_-]*[0-9A-Za-z])?)*\.?",
+    "HOSTNAME": r"[0-9A-Za-z](?:[0-9A-Za-z_-]*[0-9A-Za-z])?(?:\.[0-9A-Za-z](?:[0-9A-Za-z_-]*[0-9A-Za-z])?){0,126}\.?",
     "HOST": r"%{HOSTNAME}",
     "IPORHOST": r"(?:%{IP}|%{HOSTNAME})",
     "HOSTPORT": r"%{IPORHOST}:%{POSINT}",
-    "UNIXPATH": r"(?:/[\w.,~+=@%:-]*)+",
-    "WINPATH": r"(?:[A-Za-z]:|\\)(?:\\[^\\?*]*)+",
+    "UNIXPATH": r"/[\w.,~+=@%:/-]*",
+    "WINPATH": r"(?:[A-Za-z]:|\\)\\[^?*]*",
     "PATH": r"(?:%{UNIXPATH}|%{WINPATH})",
     "URIPROTO": r"[A-Za-z][A-Za-z0-9+.-]*",
-    "URIPATH": r"(?:/[A-Za-z0-9$.+!*'(){},~:;=@#%&_-]*)+",
+    "URIPATH": r"/[A-Za-z0-9$.+!*'(){},~:;=@#%&_/-]*",
     "URIPARAM": r"\?[A-Za-z0-9$.+!*'|(){},~@#%&/=:;_?\[\]<>-]*",
     "URI": r"%{URIPROTO}://(?:%{USER}(?::[^@]*)?@)?(?:%{IPORHOST}(?::%{POSINT})?)?(?:%{URIPATH}(?:%{URIPARAM})?)?",
     "MONTH": r"(?:[Jj]an(?:uary)?|[Ff]eb(?:ruary)?|[Mm]ar(?:ch)?|[Aa]pr(?:il)?|[Mm]ay|[Jj]une?|[Jj]uly?|[Aa]ug(?:ust)?|[Ss]ep(?:tember)?|[Oo]ct(?:ober)?|[Nn]ov(?:ember)?|[Dd]ec(?:ember)?)",
@@ -68,6 +73,8 @@ PATTERNS = {
     "COMBINEDAPACHELOG": r"%{COMMONAPACHELOG} %{QUOTEDSTRING:referrer} %{QUOTEDSTRING:agent}",
 }
 
+log = logging.getLogger(__name__)
+
 _REFERENCE = re.compile(r"%\{(\w+)(?::([\w.\[\]@-]+))?(?::\w+)?\}")
 _NAMED = re.compile(r"\(\?P?<([A-Za-z_]\w*)>")
 
@@ -139,6 +146,8 @@ def expand(expression: str, patterns: dict[str, str], alias_only: bool = False)
         compiled = re.compile(regex)
     except re.error as error:
         raise GrokError(f"invalid pattern {expression!r}: {error}") from None
+    if deep := deep_repeats(regex):
+        log.warning("pattern %s repeats %d group(s) without bound, which recurses on long texts; use single characters, a possessive group (...)*+ or a bound", expression, deep)
     optional = _optional_groups(regex)
     groups: dict[str, tuple[Group, ...]] = {}
     for group, index in compiled.groupindex.items():
@@ -146,6 +155,34 @@ def expand(expression: str, patterns: dict[str, str], alias_only: bool = False)
     return Grok(re.sub(r"\(\?P<g\d+>", "(", regex), groups)
 
 
+def deep_repeats(regex: str) -> int:
+    """How many unbounded repeats, other than possessive ones, have a body that is more than a single character."""
+    from re import _constants as k
+    from re import _parser
+
+    single = {k.LITERAL, k.NOT_LITERAL, k.IN, k.ANY, k.CATEGORY, k.RANGE}
+
+    def walk(items) -> int:
+        found = 0
+        for op, arg in items:
+            if op in (k.MAX_REPEAT, k.MIN_REPEAT):
+                found += arg[1] is k.MAXREPEAT and not (len(arg[2]) == 1 and arg[2][0][0] in single)
+                found += walk(arg[2])
+            elif op is k.POSSESSIVE_REPEAT:
+                found += walk(arg[2])
+            elif op is k.SUBPATTERN:
+                found += walk(arg[3])
+            elif op is k.BRANCH:
+                found += sum(map(walk, arg[1]))
+            elif op is k.ATOMIC_GROUP:
+                found += walk(arg)
+            elif op in (k.ASSERT, k.ASSERT_NOT):
+                found += walk(arg[1])
+        return found
+
+    return walk(_parser.parse(regex))
+
+
 def _optional_groups(regex: str) -> set[int]:
     """Groups inside an alternative or a repeat that may be empty."""
     from re import _constants as k

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from typing import TextIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -102,15 +103,26 @@ def insert_statements(df: DataFrame, table: str, batch_size: int = 1000) -> Data
     return rows.mapInArrow(run, "value string")
 
 
-def write_text(lines: DataFrame, target: str, head: str | None = None, mode: str = "append", single: bool = False) -> None:
-    """Writes a text per row: ``-`` prints them, anything else is a folder of text files.  ``head`` comes first."""
+def _print(lines: DataFrame, out: TextIO, head: str | None) -> None:
+    if head:
+        out.write(head + "\n")
+    for r in lines.toLocalIterator():
+        out.write(r[0] + "\n")
+
+
+def write_text(lines: DataFrame, target: str, head: str | None = None, mode: str = "append", single: bool = False, append_to_file: bool = False) -> None:
+    """Writes a text per row: ``-`` prints them, anything else is a folder of text files.  ``head`` comes first.
+
+    ``append_to_file``: the target is one file on the driver's machine that rows are appended to, partition after partition, for
+    results that one reader takes; ``head`` is then written where the file is new or empty."""
     if target == "-":
-        if head:
-            sys.stdout.write(head + "\n")
-        for r in lines.toLocalIterator():
-            sys.stdout.write(r[0] + "\n")
+        _print(lines, sys.stdout, head)
         sys.stdout.flush()
         return
+    if append_to_file:
+        with open(target, "a", encoding="utf-8") as f:
+            _print(lines, f, head if f.tell() == 0 else None)
+        return
     if head:
         first = lines.sparkSession.createDataFrame([(head,)], "value string")
         lines = first.union(lines).coalesce(1) if single else first.union(lines)
@@ -119,14 +131,14 @@ def write_text(lines: DataFrame, target: str, head: str | None = None, mode: str
     lines.write.mode(mode).text(target)
 
 
-def write_csv(df: DataFrame, target: str, add_header: bool = False, single: bool = False, mode: str = "append") -> None:
+def write_csv(df: DataFrame, target: str, add_header: bool = False, single: bool = False, mode: str = "append", append_to_file: bool = False) -> None:
     head = ",".join(c if not any(x in c for x in ',"\n') else '"' + c.replace('"', '""') + '"' for c in visible(df).columns) if add_header else None
-    write_text(csv_lines(df), target, head, mode, single)
+    write_text(csv_lines(df), target, head, mode, single, append_to_file)
 
 
-def write_sql(df: DataFrame, target: str, table: str, batch_size: int = 1000, add_ddl: bool = False, pre_name_opts: str = "", table_opts: str = "", single: bool = False, mode: str = "append") -> None:
+def write_sql(df: DataFrame, target: str, table: str, batch_size: int = 1000, add_ddl: bool = False, pre_name_opts: str = "", table_opts: str = "", single: bool = False, mode: str = "append", append_to_file: bool = False) -> None:
     head = create_table(df.schema, table, pre_name_opts, table_opts) if add_ddl else None
-    write_text(insert_statements(df, table, batch_size), target, head, mode, single)
+    write_text(insert_statements(df, table, batch_size), target, head, mode, single, append_to_file)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, batch_size: int = 1000, properties: dict[str, str] | None = None) -> None:

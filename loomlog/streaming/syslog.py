@@ -8,6 +8,7 @@ out.  Socket data can't be read again, so delivery is at most once after a crash
 
 from __future__ import annotations
 
+import os
 import select
 import socket
 import threading
@@ -22,12 +23,14 @@ from .lines import LineBuffer
 NAME = "loomlog-syslog"
 SCHEMA = "_seq long, _file string, _raw string"
 MAX_DATAGRAM = 64 * 1024
+#: Most seconds that are spent on data still arriving from senders that don't stop, once the server is told to close.
+LINGER = 2.0
 
 
 class SyslogServer:
     """Listener thread that gathers messages of all senders."""
 
-    def __init__(self, proto: str, host: str, port: int, merge: bool = False, idle_timeout: float = 30.0, channel_size: int = 1000):
+    def __init__(self, proto: str, host: str, port: int, merge: bool = False, idle_timeout: float = 30.0, channel_size: int = 1000, close_file: str | None = None):
         if proto not in ("tcp", "udp"):
             raise ValueError(f"unknown protocol {proto!r}")
         family = socket.getaddrinfo(host, port, type=socket.SOCK_STREAM if proto == "tcp" else socket.SOCK_DGRAM)[0][0]
@@ -43,7 +46,11 @@ class SyslogServer:
         self.first = 0  # number of the first message still kept
         self.taken = 0  # number of the first message not yet read
         self.running = True
+        self.close_file = close_file
+        self.closing = False
+        self.deadline = time.monotonic() + LINGER
         self.buffers: dict[object, LineBuffer] = {}
+        self.peers: dict[socket.socket, str] = {}
         self.thread = threading.Thread(target=self._serve, daemon=True)
         self.thread.start()
 
@@ -59,15 +66,38 @@ class SyslogServer:
         while self.running:
             try:
                 serve()
+                break
             except OSError:
                 if self.running:
                     time.sleep(0.05)
 
+    def _open(self) -> bool:
+        """Whether more is to be received."""
+        self.closing = self.closing or bool(self.close_file and os.path.exists(self.close_file))
+        if self.running and not self.closing:
+            self.deadline = time.monotonic() + LINGER
+            return True
+        return False
+
+    def _finish(self, buffers: list[tuple[str, LineBuffer]]) -> None:
+        """What buffers still hold, as their senders won't go on."""
+        self.socket.close()
+        for name, buffer in buffers:
+            self._put(name, buffer.flush())
+        self.buffers.clear()
+        if self.close_file and os.path.exists(self.close_file):
+            os.remove(self.close_file)  # tells that all messages wait in the queue
+
     def _serve_tcp(self) -> None:
         """Connections are read in turn; an error of one ends that one only."""
-        peers: dict[socket.socket, str] = {}
-        while self.running:
-            for s in select.select([self.socket, *peers], [], [], 0.1)[0]:
+        peers = self.peers
+        while True:
+            # what has arrived is still read after the server was told to close
+            more = self._open()
+            ready = select.select([self.socket, *peers], [], [], 0.1 if more else 0)[0]
+            if not more and not ready:
+                break
+            for s in ready:
                 if s is self.socket:
                     peer, address = s.accept()
                     peers[peer] = f"{address[0]}:{address[1]}"
@@ -84,14 +114,24 @@ class SyslogServer:
                     self._put(name, self.buffers.pop(s).flush())
                     peers.pop(s)
                     s.close()
+            if not more and time.monotonic() > self.deadline:
+                break
+        self._finish([(peers[s], b) for s, b in self.buffers.items()])
+        for s in peers:
+            s.close()
 
     def _serve_udp(self) -> None:
-        while self.running:
-            if select.select([self.socket], [], [], 0.1)[0]:
+        while True:
+            more = self._open()
+            ready = select.select([self.socket], [], [], 0.1 if more else 0)[0]
+            if not more and (not ready or time.monotonic() > self.deadline):
+                break
+            if ready:
                 data, address = self.socket.recvfrom(MAX_DATAGRAM)
                 buffer = self.buffers.setdefault(address, LineBuffer(self.merge))
                 self._put(f"{address[0]}:{address[1]}", buffer.feed(data))
             self._expire(time.monotonic() - self.idle_timeout)
+        self._finish([(f"{a[0]}:{a[1]}", b) for a, b in self.buffers.items()])
 
     def _expire(self, before: float) -> None:
         for address in [a for a, b in self.buffers.items() if b.touched < before]:
@@ -118,10 +158,11 @@ class SyslogServer:
             self.changed.notify_all()
 
     def stop(self) -> None:
+        """Closes the listener.  What has arrived and what buffers hold is then among the messages, which can still be read."""
         self.running = False
         with self.changed:
             self.changed.notify_all()
-        self.thread.join(2)
+        self.thread.join(LINGER + 2)
         self.socket.close()
 
 
@@ -134,7 +175,7 @@ class SyslogReader(SimpleDataSourceStreamReader):
     def _open(self) -> SyslogServer:
         if self.server is None:
             o = self.options
-            self.server = SyslogServer(o.get("proto", "tcp"), o.get("host", "127.0.0.1"), int(o["port"]), o.get("merge", "false") == "true", float(o.get("idletimeout", "30")), int(o.get("channelsize", "1000")))
+            self.server = SyslogServer(o.get("proto", "tcp"), o.get("host", "127.0.0.1"), int(o["port"]), o.get("merge", "false") == "true", float(o.get("idletimeout", "30")), int(o.get("channelsize", "1000")), o.get("closefile"))
         return self.server
 
     def initialOffset(self) -> dict:

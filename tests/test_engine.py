@@ -315,3 +315,97 @@ def test_separator_in_messages(spark):
     sep = parsing.SEPARATOR
     rows = parsing.parse_messages(framing.messages_from_lines(spark, [f"x 1{sep}2", "y 3", sep]), g, (parse_column("+a"), parse_column("b")))
     assert sorted((r["a"] or "", r["b"] or "", r["_error"] or "") for r in rows.collect()) == [("", "", "pattern did not match"), ("x", f"1{sep}2", ""), ("y", "3", "")]
+
+
+SAMPLES = {
+    "numbered.yml": """
+input: "-"
+merge_multi_line: false
+grok_pattern: NUMBERED
+grok_schema_columns:
+  - "+timestamp:ts:%Y-%m-%dT%H:%M:%S"
+  - "+num:int"
+  - "+message"
+grok_with_alias_only: false
+grok_ignore_default_patterns: false
+grok_extra_patterns:
+  - "NUMBERED %{TIMESTAMP_ISO8601:timestamp} %{NUMBER:num} +%{GREEDYDATA:message}"
+output: "-"
+output_format: csv
+output_batch_size: 1000
+output_add_ddl: false
+rayon_threads: 2
+tick_interval: 30
+idle_timeout: 30
+async_channel_size: 2000
+""",
+    "syslog.yml": """
+input: /var/log/syslog
+merge_multi_line: true
+grok_pattern: SYSLOGLINE
+grok_schema_columns:
+  - "+timestamp:ts:%b %e %H:%M:%S"
+  - "logsource:str:50"
+  - "program::100"
+  - "pid:int"
+  - "+message::65536"
+output: "-"
+output_format: sql
+output_batch_size: 1000
+rayon_threads: 2
+grok_load_default: true
+""",
+}
+
+
+@pytest.mark.parametrize("name", SAMPLES)
+def test_sample_configurations(tmp_path, name):
+    from loomlog.config import load
+    from loomlog.engine import prepare
+
+    (tmp_path / name).write_text(SAMPLES[name])
+    config = load(["-c", str(tmp_path / name)])
+    assert prepare(config).pattern.groups.keys() >= {"timestamp", "message"}
+    assert not config.grok_ignore_default_patterns and config.columns[0].required
+
+
+def test_long_texts_do_not_overflow_the_stack(spark):
+    from pyspark.sql import functions as F
+
+    from loomlog.functions import grok
+
+    long = [("QUOTEDSTRING", '"' + "a" * 60_000 + '"'), ("QUOTEDSTRING", '"' + '\\"' * 30_000 + '"'), ("PATH", "/a" * 30_000), ("URIPATH", "/a" * 30_000), ("WINPATH", "C:" + "\\a" * 30_000), ("HOSTNAME", "a." * 30_000), ("NOTSPACE", "x" * 60_000), ("DATA", "x" * 60_000)]
+    for name, text in long:
+        g = grok.expand(f"^%{{{name}:x}}", grok.library())
+        found = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract("t", g.regex, g.groups["x"][0].index)).first()[0]
+        assert found == text or name in ("HOSTNAME", "DATA"), name
+    line = '10.0.0.1 - frank [10/Oct/2000:13:55:36 -0700] "GET /x HTTP/1.0" 200 2326 "' + "r" * 60_000 + '" "' + "u\\\\" * 30_000 + '"'
+    g = grok.expand("%{COMBINEDAPACHELOG}", grok.library())
+    assert spark.createDataFrame([(line,)], "t string").where(F.col("t").rlike(g.regex)).count() == 1
+    assert all(grok.deep_repeats(grok.expand(f"%{{{n}}}", grok.library()).regex) == 0 for n in grok.PATTERNS)
+    assert grok.deep_repeats(r'"(?:[^"\\]|\\.)*"') == 1
+
+
+def test_rejects_and_single_file(spark, tmp_path, capfd):
+    from loomlog.config import load
+    from loomlog.engine import run_batch
+
+    (tmp_path / "in.log").write_text("1 one\nbad\n2 two\n")
+    out = tmp_path / "out.csv"
+    argv = ["-i", str(tmp_path / "in.log"), "-o", str(out), "-g", "N", "-e", "N %{INT:num} %{WORD:word}", "-s", "+num:int", "-s", "word", "--single-file", "--output-add-ddl"]
+    run_batch(spark, load(argv))
+    run_batch(spark, load(argv))
+    assert out.read_text() == "num,word\n1,one\n2,two\n1,one\n2,two\n"
+    assert capfd.readouterr().err.count("rejected: pattern did not match: bad") == 2
+    run_batch(spark, load([*argv, "--rejects", str(tmp_path / "bad")]))
+    assert spark.read.text(str(tmp_path / "bad")).collect()[0][0] == "pattern did not match,bad"
+
+
+def test_checkpoint_folder_is_needed_off_local_mode(spark):
+    from types import SimpleNamespace
+
+    from loomlog.session import checkpoint_dir
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn", getConf=lambda: SimpleNamespace(get=lambda k: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: None)))

@@ -6,8 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from loomlog.config import EngineConfig
-from loomlog.engine import run_stream
+from loomlog.config import EngineConfig, parse_column
+from loomlog.engine import run_stream, stop_stream
 from loomlog.streaming.syslog import SyslogServer
 
 
@@ -107,3 +107,38 @@ def test_stream_query(spark, tmp_path):
     assert sum(n for p, n in seen if p == "p0") == 5
     assert len(seen) >= 5  # two programs in each of three batches or more
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+@pytest.mark.parametrize("proto", ["tcp", "udp"])
+def test_stop_flushes_what_is_held(proto):
+    kind = socket.SOCK_STREAM if proto == "tcp" else socket.SOCK_DGRAM
+    server = SyslogServer(proto, "127.0.0.1", port := free_port(kind), merge=True)
+    with socket.socket(socket.AF_INET, kind) as s:
+        s.connect(("127.0.0.1", port))
+        s.sendall(b"first\nsecond\n\tmore\nthird")
+        wait_for(lambda: server.buffers)
+        server.stop()
+    assert [m for _, m in server.messages] == ["first", "second \tmore", "third"]
+
+
+def test_stream_stops_without_loss(spark):
+    got = []
+    config = EngineConfig(input=f"syslog-tcp:127.0.0.1:{(port := free_port())}", grok_pattern="LINE", grok_patterns={"LINE": "%{GREEDYDATA:message}"}, columns=(parse_column("message:str"),), merge_multi_line=True, tick_interval=0.2, rejects="none")
+    query = run_stream(spark, config, sink=lambda df, _: got.extend(r["message"] for r in df.collect()))
+    s = None
+    try:
+        end = time.time() + 30
+        while s is None:
+            try:
+                s = socket.create_connection(("127.0.0.1", port))
+            except OSError:
+                assert time.time() < end
+                time.sleep(0.1)
+        s.sendall(b"first\nsecond\nthird")
+        wait_for(lambda: got)
+        stop_stream(query)
+    finally:
+        query.stop()
+        s.close()
+    assert got == ["first", "second", "third"]
+    assert not query.isActive
