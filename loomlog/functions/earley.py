@@ -6,6 +6,8 @@ the rule spans as a field.  The score of a parse is the sum of its rules' weight
 
 Parsing is by prefixes: the start symbol may end anywhere, and the best end is kept.  Earley sets depend on the token
 classes read so far and on nothing else, so they are kept in a trie over classes: lines of the same shape cost a walk.
+An item refers to the set it began in, so that a set lives on only while something began in it or the trie holds it; sets deeper than
+``DEPTH`` are not kept in the trie, so a very long line needs memory for what its open rules refer to.
 """
 
 from __future__ import annotations
@@ -13,6 +15,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+#: Sets of prefixes of up to this many tokens are kept from line to line.
+DEPTH = 400
+
 #: (role, first token, token after the last) of the fields of a parse.
 Fields = tuple[tuple[str, int, int], ...]
 
@@ -45,19 +50,20 @@ class Grammar:
             raise ValueError("empty rules are not supported; write the alternatives out")
 
 
-@dataclass
+@dataclass(slots=True)
 class _Item:
     score: float
     fields: Fields
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
 class Node:
-    """An Earley set: (rule, dot, origin) to the best way to get there; the best complete parse up to here."""
+    """An Earley set: (rule, dot, set it began in) to the best way to get there; the best complete parse up to here.
+
+    The set itself is written as None in its own keys, which would otherwise keep it alive."""
 
-    items: dict[tuple[Rule, int, int], _Item]
+    items: dict[tuple[Rule, int, "Node | None"], _Item]
     depth: int
-    path: tuple["Node", ...]
     best: tuple[float, int, Fields] | None = None
     next: dict[str, "Node | None"] = field(default_factory=dict)
 
@@ -70,17 +76,16 @@ class Earley:
 
     def _start(self) -> None:
         self.nodes = 1
-        self.root = Node({}, 0, ())
+        self.root = Node({}, 0)
         for rule in self.grammar.rules[self.grammar.start]:
-            self.root.items[rule, 0, 0] = _Item(rule.weight, ())
+            self.root.items[rule, 0, None] = _Item(rule.weight, ())
         self._close(self.root)
 
     def _close(self, node: Node) -> None:
         """Predicts and completes until nothing improves."""
         todo = list(node.items)
-        sets = [*node.path, node]
 
-        def put(key: tuple[Rule, int, int], score: float, fields: Fields) -> None:
+        def put(key: tuple[Rule, int, Node | None], score: float, fields: Fields) -> None:
             known = node.items.get(key)
             if known is None or score > known.score + 1e-12:
                 node.items[key] = _Item(score, fields)
@@ -93,29 +98,31 @@ class Earley:
             if dot < len(rule.right):
                 symbol = rule.right[dot]
                 for r in self.grammar.rules.get(symbol, ()):
-                    put((r, 0, node.depth), r.weight, ())
+                    put((r, 0, None), r.weight, ())
                 continue
             fields = item.fields
             if role := self.grammar.roles.get(rule.left):
-                fields = (*fields, (role, origin, node.depth))
-            if rule.left == self.grammar.start and origin == 0 and (node.best is None or item.score > node.best[0]):
+                fields = (*fields, (role, (origin or node).depth, node.depth))
+            if rule.left == self.grammar.start and (origin or node).depth == 0 and (node.best is None or item.score > node.best[0]):
                 node.best = item.score, node.depth, fields
-            for (r, d, o), waiting in list(sets[origin].items.items()):
+            for (r, d, o), waiting in list((origin or node).items.items()):
                 if d < len(r.right) and r.right[d] == rule.left:
-                    put((r, d + 1, o), waiting.score + item.score, waiting.fields + fields)
+                    put((r, d + 1, o or origin), waiting.score + item.score, waiting.fields + fields)
+        # only items that wait for something are looked at again; finished ones would keep the sets they began in
+        node.items = {k: v for k, v in node.items.items() if k[1] < len(k[0].right)}
 
     def _advance(self, node: Node, kind: str) -> Node | None:
         items = {}
         for (rule, dot, origin), item in node.items.items():
             if dot < len(rule.right) and rule.right[dot] == kind:
-                items[rule, dot + 1, origin] = _Item(item.score, item.fields)
+                items[rule, dot + 1, origin or node] = _Item(item.score, item.fields)
         if not items:
             return None
-        made = Node(items, node.depth + 1, (*node.path, node))
+        made = Node(items, node.depth + 1)
         self._close(made)
         if node.best is not None and (made.best is None or node.best[0] >= made.best[0]):
             made.best = node.best
-        self.nodes += 1
+        self.nodes += made.depth <= DEPTH
         return made
 
     def parse(self, kinds) -> tuple[float, int, Fields] | None:
@@ -124,9 +131,13 @@ class Earley:
             self._start()
         node = self.root
         for kind in kinds:
-            if kind not in node.next:
-                node.next[kind] = self._advance(node, kind)
-            if node.next[kind] is None:
+            if kind in node.next:
+                after = node.next[kind]
+            else:
+                after = self._advance(node, kind)
+                if node.depth < DEPTH:
+                    node.next[kind] = after
+            if after is None:
                 break
-            node = node.next[kind]
+            node = after
         return node.best

@@ -40,7 +40,13 @@ _JSON_KEY = re.compile(r"\s*:")
 
 #: ``_`` stands for white space.  Header rules weigh more than anything a message could add; fields add to them.
 GRAMMAR = """
-Line: Header
+Line: Header | More
+
+# what goes on an entry: indented lines, stack traces, causes, dumps, tables, statements and objects over several lines
+More=more: _ | Trace | CAUSED | ERRORNAME | Dump | Table | STATEMENT | { | } | CLOSING
+Trace: TRACEBACK | FRAME
+Dump: OFFSET
+Table: VBAR _ | RULE
 Header: Bsd | Ietf | Glog | Logger | Bracket | Pipe | Epoch | Access | Json | Logfmt
 Pri=pri: PRI
 Word: WORD | LEVEL | NUMWORD
@@ -123,7 +129,15 @@ Logfmt: FmtTimed _ FTEXT = FmtText @20 | FmtTimed @14
 """
 
 
-@dataclass
+#: Classes that only the first token of a line has.
+_FIRST = re.compile(
+    r"(?P<TRACEBACK>Traceback(?= \(most recent call last\):))|(?P<FRAME>at (?=[\w.$<>/]+\()|File (?=\"[^\"]*\", line \d)|\.\.\. (?=\d+ (?:more|common)))|(?P<CAUSED>(?:Caused by|Suppressed|Root cause): ?)"
+    r"|(?P<ERRORNAME>[A-Za-z_][\w.$]*(?:Error|Exception|Warning|Interrupt|Exit)(?=:|$))|(?P<OFFSET>[0-9A-Fa-f]{4,16}:? {1,2}(?=[0-9A-Fa-f]{2}[ 0-9A-Fa-f]))"
+    r"|(?P<RULE>[+|=-][-+=|]{2,}\s*$)|(?P<STATEMENT>(?:SELECT|FROM|WHERE|GROUP BY|ORDER BY|HAVING|LIMIT|(?:LEFT |RIGHT |INNER |CROSS |OUTER )*JOIN|UNION|INSERT INTO|UPDATE|DELETE FROM|SET|VALUES|WITH|AND|OR|ON)(?= ))|(?P<CLOSING>[)\]][)\]},;]*\s*$)"
+)
+
+
+@dataclass(slots=True)
 class Token:
     kind: str
     start: int
@@ -139,6 +153,9 @@ def tokens(line: str) -> Iterator[Token]:
     elif m := _GLOG.match(line):
         yield Token("GLOGDAY", 0, m.end())
         at = m.end()
+    elif m := _FIRST.match(line):
+        yield Token(m.lastgroup, 0, m.end())
+        at = m.end()
     while at < n:
         m = _TOKEN.match(line, at)
         kind, text, end = m.lastgroup, m[0], m.end()
@@ -168,7 +185,7 @@ def tokens(line: str) -> Iterator[Token]:
 
 @dataclass
 class Header:
-    """What a header line states; ``text`` is where the message proper is, ``unparsed`` what no rule covers."""
+    """What a header line states; ``text`` is the message proper, ``unparsed`` the span that no rule covers."""
 
     level: str
     component: str
@@ -179,14 +196,19 @@ class Header:
 
 
 class LineParser:
-    """Header of a line by the highest-scoring parse, or None for a line that has none."""
+    """Lines by their highest-scoring parse: a header, something that goes on an entry, or neither."""
 
     def __init__(self, grammar: str = GRAMMAR, start: str = "Line"):
         self.earley = Earley(Grammar(grammar, start))
 
     def parse(self, line: str | None) -> Header | None:
-        if not line or line[0] in " \t":
-            return None
+        """Header of a line, or None for a line that has none."""
+        return self.read(line)[0]
+
+    def read(self, line: str | None) -> tuple[Header | None, tuple[int, int]]:
+        """(header if the line is one, span of it that no rule covers)."""
+        if not line:
+            return None, (0, 0)
         seen: list[Token] = []
 
         def kinds() -> Iterator[str]:
@@ -196,12 +218,14 @@ class LineParser:
 
         found = self.earley.parse(kinds())
         if found is None:
-            return None
+            return None, (0, len(line))
         score, used, fields = found
         spans: dict[str, str] = {}
         for role, first, last in fields:
             parts = [line[t.start : t.end] for t in seen[first:last] if t.kind != "COLOUR"]
             spans[role] = "".join(parts)
+        if "more" in spans:
+            return None, (0, 0)
         end = seen[used - 1].end
         strip = lambda x: x[1:-1] if x[:1] == '"' == x[-1:] and len(x) > 1 else x
         level = "none"
@@ -213,4 +237,6 @@ class LineParser:
             level = SEVERITIES[int(spans["pri"][1:-1]) % 8]
         time = strip(spans["time"]) if "time" in spans else f"{spans['glog'][1:]} {spans['clock']}" if "glog" in spans else None
         text = strip(spans["text"]) if "text" in spans else line[end:]
-        return Header(level, strip(spans.get("component", "")) or "none", time, text, score, (end, len(line)))
+        # the message proper takes the rest of the line, unless a field of the header is the message
+        rest = (end, len(line)) if "text" in spans and line[end:].strip() else (0, 0)
+        return Header(level, strip(spans.get("component", "")) or "none", time, text, score, rest), rest

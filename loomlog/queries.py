@@ -17,12 +17,15 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return engine_queries.grok_roundtrip(spark, d)
 
 
-#: Forms of header times, by an arbitrary id.
-HEADER_TIMES = dict(enumerate(("%b %e %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S.%f%z", "%Y-%m-%dT%H:%M:%S%z", "%d/%b/%Y:%H:%M:%S %z", "%s.%f", "%s", "%m%d %H:%M:%S.%f")))
+#: Forms of header times.
+HEADER_TIMES = {
+    0: "%b %e %H:%M:%S", 1: "%Y-%m-%dT%H:%M:%S", 2: "%Y-%m-%dT%H:%M:%S.%f", 3: "%Y-%m-%dT%H:%M:%S.%f%z", 4: "%Y-%m-%dT%H:%M:%S%z",
+    5: "%d/%b/%Y:%H:%M:%S %z", 6: "%s.%f", 7: "%s", 8: "%m%d %H:%M:%S.%f",
+}
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
-    return entries.assemble_entries(entries.parse_lines(table(spark, d, "rawmessage")))
+    return entries.read_entries(table(spark, d, "rawmessage"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -55,6 +55,26 @@ def test_other_lines(line):
     assert PARSER.parse(line) is None
 
 
+def test_unparsed_spans():
+    assert PARSER.read("\tat zo.a(B.java:1)") == (None, (0, 0))
+    assert PARSER.read("Caused by: zo.a: gone") == (None, (0, 0))
+    assert PARSER.read("not of any layout") == (None, (0, 17))
+    header, rest = PARSER.read('{"time":"2021-01-04T23:17:44Z","level":"info","msg":"up"} trailing')
+    assert header.text == "up" and rest == (57, 66)
+
+
+def test_long_line_needs_little_memory():
+    import tracemalloc
+
+    line = '{"time":"2021-01-04T23:17:44Z","level":"warn",' + ",".join(f'"k{i}":{i}' for i in range(12_000)) + "}"
+    tracemalloc.start()
+    header = LineParser().parse(line)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert header is not None and header.level == "warn"
+    assert peak < 60e6, peak  # 130 KB; a megabyte takes eight times as much
+
+
 def test_earley_keeps_the_best_parse():
     g = Grammar("S: A @1 | B @5 | S S @-1\nA=first: x y\nB=second: x y z\n", "S")
     e = Earley(g)
@@ -99,22 +119,28 @@ def test_entries(spark, seed):
     at = datetime(2021, 1, 5)
     rows = [(i, r.choice([1, 1, 1, 1, 2, 3, None]), r.choice([r.randrange(1, 300), None] if i % 50 == 0 else [r.randrange(1, 300)]), at, r.choice(choices)) for i in range(700)]
     df = clashing(spark.createDataFrame(rows, RAW)).repartition(6)
-    found = entries.assemble_entries(entries.parse_lines(df))
+    found = entries.read_entries(df)
     got = sorted((x["file_id"], x["first_line_no"], x["last_line_no"], x["level"], x["component"]) for x in found.collect())
     assert got == brute_entries(rows)
 
 
-def test_entry_over_ranges_keeps_its_text(spark):
-    """One header and so many lines that they fill several ranges."""
-    rows = [(1, 1, 1, datetime(2021, 1, 5), "Jan  4 00:16:58 h p[1]: head")] + [(i, 1, i, datetime(2021, 1, 5), f"line {i}" if i % 9 else "") for i in range(2, 2001)]
-    found = entries.assemble_entries(entries.parse_lines(spark.createDataFrame(rows, RAW).repartition(8))).collect()
-    assert len(found) == 1
-    assert (found[0]["first_line_no"], found[0]["last_line_no"]) == (1, 2000)
-    assert [x for x in found[0]["message"].split("\n") if x] == ["head"] + [f"line {i}" for i in range(2, 2001) if i % 9]
+@pytest.mark.parametrize("partitions", [1, 7, 50])
+def test_entry_over_ranges_keeps_its_text(spark, partitions):
+    """One header and so many lines that they fill several ranges, with blank lines wherever borders may fall."""
+    blank = lambda i: i % 9 == 0 or 300 < i < 420 or i % 4 == 1
+    text = lambda i: "" if blank(i) else f"\tline {i}" if i % 2 else f"odd line {i}"
+    rows = [(1, 1, 1, datetime(2021, 1, 5), "Jan  4 00:16:58 h p[1]: head")] + [(i, 1, i, datetime(2021, 1, 5), text(i)) for i in range(2, 2001)]
+    rows += [(3000, 2, 1, datetime(2021, 1, 5), ""), (3001, 2, 2, datetime(2021, 1, 5), "Jan  4 00:16:59 h q: next")]
+    found = sorted(entries.read_entries(spark.createDataFrame(rows, RAW).repartition(8), partitions).collect(), key=lambda x: x["file_id"])
+    assert len(found) == 2 and found[1]["message"] == "next"
+    assert (found[0]["first_line_no"], found[0]["last_line_no"]) == (1, 2000 if not blank(2000) else 1999)
+    assert found[0]["message"] == "\n".join(["head", *map(text, range(2, 2001))]).rstrip("\n")
+    spans = [(x["line_no"], x["start"], x["end"]) for x in found[0]["unparsed"]]
+    assert spans == [(i, 0, len(text(i))) for i in range(2, 2001) if text(i).startswith("odd")]
     nothing = spark.createDataFrame([], RAW)
-    assert entries.assemble_entries(entries.parse_lines(nothing)).collect() == []
+    assert entries.read_entries(nothing).collect() == []
     orphans = spark.createDataFrame([(1, 1, 1, None, "no header"), (2, 1, 2, None, "\tat x")], RAW)
-    assert entries.assemble_entries(entries.parse_lines(orphans)).collect() == []
+    assert entries.read_entries(orphans).collect() == []
 
 
 FIELDS = [badrows.Field("t", parse_spec("ts:%b %e %H:%M:%S"), True), badrows.Field("s", parse_spec("str:5"), True), badrows.Field("n", parse_spec("int"), False), badrows.Field("f", parse_spec("float"), False), badrows.Field("b", parse_spec("bool"), False)]
