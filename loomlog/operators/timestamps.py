@@ -6,13 +6,16 @@ version :func:`loomlog.functions.timeshapes.tzdata_version` tells, and broadcast
 zones.  No shuffle but for the join with the sources, which is broadcast while that table is small.
 
 Defined cases: null, blank, incomplete and impossible texts give null, as do wall-clock times that the zone
-skips and those of sources without a known zone; repeated rows are converted each; times that the wall clock shows twice and
+skips and those of sources without a known zone; wall clocks before 1970 or after 2099 are read with the zone's first or
+last offset there; repeated rows are converted each; times that the wall clock shows twice and
 times without a year are the latest ones not after ``received_at`` (null where that is null).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from zoneinfo import available_timezones
 
 import numpy as np
 import pandas as pd
@@ -26,10 +29,6 @@ from ..session import broadcast_if_bounded
 _SHAPES: dict[int, Shapes] = {}
 
 
-#: More zone names than this are refused; IANA has about 600.
-MAX_ZONES = 2_000
-
-
 def normalise_times(df: DataFrame, formats: dict[int, str], text: str, format_id: str, zone: str, received: str, zones: list[str], out: str = "ts_us") -> DataFrame:
     """``df`` with ``out``: micros since 1970 in UTC, or null.  ``formats``: strftime specifiers by id; ``zones``: the
     zone names that the ``zone`` column may hold."""
@@ -41,12 +40,14 @@ def normalise_times(df: DataFrame, formats: dict[int, str], text: str, format_id
         specs, zones_known = shared.value
         shapes = _SHAPES.setdefault(key, Shapes(specs))
         none = np.iinfo(np.int64).min
+        longest = max((10 * len(s) for s in specs.values() if s), default=0)  # no code stands for more than ten characters
         for pdf in batches:
-            texts = [t.strip() if isinstance(t, str) else "" for t in pdf["__text"]]
+            # blanks inside count as one, as in the forms, so a padded time is as short as others
+            texts = [re.sub(" +", " ", t.strip()) if isinstance(t, str) else "" for t in pdf["__text"]]
             ids = [None if pd.isna(f) else int(f) for f in pdf["__format"]]
             groups: dict[tuple[str, int | None], list[int]] = {}
             for i, (t, f) in enumerate(zip(texts, ids)):
-                if t and len(t) <= 64:  # no form of a time is longer
+                if t and len(t) <= longest:
                     groups.setdefault((mask_of(t), f), []).append(i)
             at_zone = pdf["__zone"].fillna("").to_numpy(dtype=object)
             received_us = pdf["__received"].fillna(none).to_numpy(np.int64)
@@ -66,15 +67,21 @@ def normalise_times(df: DataFrame, formats: dict[int, str], text: str, format_id
     return prepared.mapInPandas(run, schema)
 
 
+def _zone_names(sources: DataFrame) -> list[str]:
+    """The sources' zones that exist.  Names are checked where they stand, so wrong ones don't count towards the bound, which
+    the number of IANA zones sets."""
+    known = sorted(available_timezones())
+    names = sources.where(F.col("zone").isin(known)).select("zone").distinct()
+    return [r[0] for r in names.collect()]
+
+
 def capture_times(captures: DataFrame, sources: DataFrame, formats: DataFrame) -> DataFrame:
     """``capture_id`` and ``ts_us`` of every capture.  Formats are few by nature; more than 10,000 are refused."""
     known = formats.where("format_id is not null").select("format_id", "format_specifier").limit(10_001).collect()
     if len(known) > 10_000:
         raise ValueError("more than 10,000 time formats")
     zones = sources.groupBy("logsource").agg(F.min("zone").alias("zone"))
-    names = [r[0] for r in zones.where("zone is not null").select("zone").distinct().limit(MAX_ZONES + 1).collect()]
-    if len(names) > MAX_ZONES:
-        raise ValueError(f"more than {MAX_ZONES} zone names")
+    names = _zone_names(sources)
     rows = captures.select("capture_id", "logsource", "timestamp", "format_id", "received_at").join(broadcast_if_bounded(zones), "logsource", "left")
     found = normalise_times(rows.drop("logsource"), {r[0]: r[1] for r in known}, "timestamp", "format_id", "zone", "received_at", names)
     return found.select("capture_id", "ts_us")
@@ -83,7 +90,7 @@ def capture_times(captures: DataFrame, sources: DataFrame, formats: DataFrame) -
 def zone_transitions(sources: DataFrame) -> DataFrame:
     """``zone``, ``from_second`` (UTC, null before the first change), ``offset_s`` and ``tzdata`` of the sources' zones: the
     tables that wall-clock times are converted by, with the version of the data they come from."""
-    names = [r[0] for r in sources.where("zone is not null").select("zone").distinct().limit(MAX_ZONES).collect()]
+    names = _zone_names(sources)
     least = np.iinfo(np.int64).min
     rows = [(n, None if s == least else s, o, tzdata_version()) for n in sorted(names) if (t := zone_table(n)) for s, o in zip(t.starts.tolist(), t.offsets.tolist())]
     return sources.sparkSession.createDataFrame(rows, "zone string, from_second long, offset_s long, tzdata string")

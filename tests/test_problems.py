@@ -273,3 +273,14 @@ def test_empty_captures(spark):
     sources = spark.createDataFrame([], "logsource string, zone string")
     formats = spark.createDataFrame([(1, None), (2, "%Q")], "format_id int, format_specifier string")
     assert timestamps.capture_times(df, sources, formats).collect() == []
+
+
+def test_padded_times_and_many_zone_names(spark):
+    at = datetime(2024, 6, 1)
+    rows = [(1, "s", "2024-01-04" + " " * 300 + "10:00:00", 1, at), (2, "s", " " * 900 + "2024-01-04 10:00:00\n", 1, at), (3, "s", "9" * 100_000, 1, at), (4, "bad", "2024-01-04 10:00:00", 1, at)]
+    captures = clashing(spark.createDataFrame(rows, "capture_id long, logsource string, timestamp string, format_id int, received_at timestamp"))
+    sources = spark.createDataFrame([("s", "Europe/Berlin"), ("bad", "No/Where"), *[(f"x{i}", f"No/Zone{i}") for i in range(3000)]], "logsource string, zone string")
+    formats = spark.createDataFrame([(1, "%Y-%m-%d %H:%M:%S")], "format_id int, format_specifier string")
+    got = {r["capture_id"]: r["ts_us"] for r in timestamps.capture_times(captures, sources, formats).collect()}
+    assert got[1] == got[2] == 1704358800_000_000 and got[3] is None and got[4] is None
+    assert {r["zone"] for r in timestamps.zone_transitions(sources).collect()} == {"Europe/Berlin"}
