@@ -2,17 +2,17 @@
 
 Garbled sequences are computed beforehand for all encoding pairs and matched by one Aho-Corasick automaton:
 
-* UTF-8 bytes read as a single-byte encoding: every pair of a lead and a continuation byte, as each encoding shows it.
-  The run of characters around a match is garbled if it decodes as UTF-8 in full to plausible characters (once or
-  several times over).
-* Text of a legacy encoding read as another one: the words that are frequent in the corpus itself, as each pair shows
-  them.  A match must be a whole run, and its plain form at least ``RATIO`` times as frequent as the garbled one.
-  Rarer words are looked up by a join: what each run may have been before, with the counts of all runs.  In a row with
-  a proven pair, the other runs are undone too if all of them decode plausibly by it.
+* UTF-8 bytes read as a single-byte or a double-byte encoding: every pair of a lead and a continuation byte, as each encoding
+  shows it.  The run of characters around a match is garbled if it decodes as UTF-8 in full to plausible characters (once
+  or several times over); where the run looks like a word as it stands, only to a regular word of enough letters.
 * U+FFFD, which stands where the original is lost.
 
-Only matched runs are replaced.  The words come from counts over all rows; their number is bounded since each must make up
-at least ``LEAST_SHARE`` of all counted runs (so there are at most 1 / LEAST_SHARE of them to broadcast).
+Text of a legacy encoding read as another one, and short runs of the former kind, are found by words: what each run may have been
+before any pair garbled it is joined with all runs of the corpus, and a run is garbled if its plain form is at least ``RATIO``
+times as frequent.  In a row with a proven pair the other runs are undone too if all of them decode plausibly by it.
+
+Only matched runs are replaced.  Counts are of all runs in all rows, and evidence is a ratio of two counts, so other rows don't
+change a verdict.  Nothing that grows with the corpus is broadcast but for tables whose size was checked.
 
 Defined cases: null, empty and ASCII texts are no case and come out as they are; a row counts once however much of
 it is garbled; a text with U+FFFD is a case without a restored form.  A word seen less than ``RATIO`` times as often as
@@ -31,10 +31,13 @@ from pyspark.sql import functions as F
 from ..session import broadcast_if_bounded, cut
 
 # Encodings by their Python names: those text was wrongly read as, and those it was written in.
-READ_AS = ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "cp1253", "koi8-r", "cp866", "cp1254", "cp1257")
-WRITTEN_IN = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "koi8-r", "cp866", "iso8859-2", "iso8859-5", "iso8859-7", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp852", "gbk", "gb18030", "shift_jis", "euc_jp", "big5", "euc_kr")
+READ_AS = ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "cp1253", "koi8-r", "cp866", "cp1254", "cp1257", "iso8859-2", "iso8859-5", "iso8859-7", "cp1255", "cp1256", "cp852", "cp874", "mac_cyrillic")
+#: Readings whose letters are valid pairs of UTF-8 bytes among themselves, so that regular words need more evidence.
+GUARDED = frozenset(("iso8859-2", "iso8859-5", "iso8859-7", "cp1255", "cp1256", "cp852", "cp874", "mac_cyrillic"))
+READ_DOUBLE = ("gbk", "big5", "shift_jis", "cp949")
+WRITTEN_IN = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1255", "cp1256", "cp1257", "cp874", "koi8-r", "cp866", "iso8859-2", "iso8859-5", "iso8859-7", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp852", "gbk", "gb18030", "shift_jis", "euc_jp", "big5", "euc_kr")
 
-LEAST_SHARE = 2e-5
+#: A run seen so often stays as it is, unless what a pair makes of it stands in the corpus.
 LEAST_COUNT = 8
 RATIO = 4
 #: Runs of letters and other characters beyond ASCII with at least one of the latter.
@@ -54,6 +57,11 @@ TABLES = _tables()
 
 
 def to_bytes(text: str, read_as: str) -> bytes | None:
+    if read_as in READ_DOUBLE:
+        try:
+            return text.encode(read_as)
+        except UnicodeEncodeError:
+            return None
     table = TABLES[read_as][0]
     try:
         return bytes([ord(c) if c < "\x80" else table[c] for c in text])
@@ -62,6 +70,8 @@ def to_bytes(text: str, read_as: str) -> bytes | None:
 
 
 def misread(data: bytes, read_as: str) -> str:
+    if read_as in READ_DOUBLE:
+        return data.decode(read_as, "replace")
     chars = TABLES[read_as][1]
     return "".join(chars[b] for b in data)
 
@@ -88,7 +98,7 @@ def _plausible(c: str) -> bool:
         return any(_encodes(c, e) for e in ("cp1252", "cp1251", "cp437", "mac_roman", "koi8-r", "gbk", "shift_jis", "euc_kr"))
     if 0x2000 <= n < 0x2070 or 0x20A0 <= n < 0x20C0 or 0x2600 <= n < 0x27C0 or 0x3000 <= n < 0xA000 or 0xAC00 <= n < 0xD7A4 or 0xFE00 <= n < 0xFE10 or 0xFF00 <= n < 0xFFF0 or 0x1F000 <= n < 0x1FB00:
         return True
-    return 0x5D0 <= n < 0x5EB or n == 0xFEFF
+    return 0x5D0 <= n < 0x5EB or 0x600 <= n < 0x700 or 0xE01 <= n < 0xE4E or n == 0xFEFF
 
 
 def _encodes(c: str, encoding: str) -> bool:
@@ -104,7 +114,8 @@ def undo_utf8(run: str, cut_short: bool = False) -> tuple[str, str] | None:
 
     ``cut_short``: the run ends the text, so its last character may be incomplete and is then dropped."""
     best = None
-    for name in READ_AS:
+    word = None
+    for name in READ_AS + READ_DOUBLE:
         data = to_bytes(run, name)
         if data is None:
             continue
@@ -119,14 +130,37 @@ def undo_utf8(run: str, cut_short: bool = False) -> tuple[str, str] | None:
         found = undo_utf8(plain, cut_short) or (plain, name)
         if not all(map(_plausible, found[0])):
             continue
+        if name in GUARDED:
+            word = _regular(run) if word is None else word
+        if (name in READ_DOUBLE or name in GUARDED and word or any("\u0590" <= c < "\u0e50" for c in found[0])) and not _telling(found[0]):
+            continue
         if best is None or len(found[0]) < len(best[0]):
             best = found
     return best
 
 
+def _regular(run: str) -> bool:
+    """Whether a run is all letters (and marks), of one script, with the case of a word."""
+    return all(c.isalpha() or unicodedata.category(c)[0] == "M" for c in run) and _wordlike(run) and (run.islower() or run.isupper() or run[1:] == run[1:].lower())
+
+
+def _telling(plain: str) -> bool:
+    """Whether a decoded text is a regular word of enough letters beyond ASCII for that to be no chance."""
+    letters = [c for c in plain if c > "\x7f" and c.isalpha()]
+    core = plain.strip("".join(c for c in plain if not c.isalpha()))
+    return len(letters) >= (2 if any(c >= "\u3040" for c in letters) else 3) and bool(core) and _regular(core)
+
+
 def origins(run: str) -> dict[str, str]:
-    """What a run may have been before a legacy pair garbled it, to ``written>read``."""
+    """What a run may have been before a pair garbled it, to ``written>read``."""
     out: dict[str, str] = {}
+    for name in READ_DOUBLE:
+        data = to_bytes(run, name)
+        if data is not None:
+            try:
+                out.setdefault(data.decode("utf-8"), f"utf-8>{name}")
+            except UnicodeDecodeError:
+                pass
     for name in READ_AS:
         data = to_bytes(run, name)
         if data is None:
@@ -140,11 +174,6 @@ def origins(run: str) -> dict[str, str]:
     return {x: p for x, p in out.items() if not x.isascii()}
 
 
-def reversals(run: str) -> set[str]:
-    """What a run may have been before any legacy pair garbled it."""
-    return set(origins(run))
-
-
 def _wordlike(run: str) -> bool:
     """Whether a run holds plausible characters only, its letters are of one script and no symbol stands between letters."""
     if not all(map(_plausible, run)):
@@ -156,22 +185,6 @@ def _wordlike(run: str) -> bool:
     return len(scripts) <= 1 or scripts <= {"CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "HALFWIDTH", "FULLWIDTH", "HANGUL"}
 
 
-def garblings(word: str) -> dict[str, str]:
-    """Garbled form of a word, by pair of legacy encodings, to ``written>read``."""
-    out: dict[str, str] = {}
-    for written in WRITTEN_IN:
-        try:
-            data = word.encode(written)
-        except UnicodeEncodeError:
-            continue
-        for name in READ_AS:
-            seen = misread(data, name)
-            if seen != word and len(seen) > 1 and not seen.isascii() and seen.isprintable() or any("\x80" <= c < "\xa0" for c in seen):
-                out.setdefault(seen, f"{written}>{name}")
-    out.pop(word, None)
-    return {g: p for g, p in out.items() if len(g) > 1}
-
-
 def all_run_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """``run``, ``n`` of all runs beyond ASCII in the corpus."""
     some = texts.where(F.octet_length(text) != F.length(text))
@@ -179,61 +192,70 @@ def all_run_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     return cut(runs.groupBy("run").agg(F.count("*").alias("n")))
 
 
-def least_count(counts: DataFrame) -> float:
-    """The count from which runs are frequent enough to be broadcast."""
-    return max(LEAST_COUNT, LEAST_SHARE * (counts.agg(F.sum("n")).first()[0] or 0))
+def proven_runs(counts: DataFrame) -> DataFrame:
+    """``run``, ``plain``, ``pair``: garbled runs by a join of what each run may have been with all runs.  The most frequent such word
+    counts, and none that is garbled itself."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(g, n, w, p, _wordlike(w)) for g, n in zip(pdf["run"], pdf["n"]) if len(g) > 1 and not undo_utf8(g) for w, p in origins(g).items() if all(map(_plausible, w))]
+            yield pd.DataFrame(rows, columns=["run", "n", "plain", "pair", "word"])
 
-def run_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """``run``, ``n`` of all runs beyond ASCII in the corpus that are frequent enough."""
-    counts = all_run_counts(texts, text)
-    return counts.where(F.col("n") >= least_count(counts))
+    asked = counts.where(~F.col("run").contains("\ufffd"))
+    known = counts.select(F.col("run").alias("plain"), F.col("n").alias("n_plain"))
+    found = cut(asked.mapInPandas(run, "run string, n long, plain string, pair string, word boolean").join(known, "plain").where((F.col("n_plain") >= F.col("n") * RATIO) & (F.col("word") | (F.col("n_plain") >= LEAST_COUNT))))
+    garbled = found.select(F.col("run").alias("plain")).distinct()
+    best = found.join(garbled, "plain", "left_anti").groupBy("run").agg(F.max(F.struct("n_plain", "plain", "pair")).alias("x"))
+    clean = F.udf(lambda w: undo_utf8(w) is None, "boolean")
+    return cut(best.select("run", "x.plain", "x.pair").where(clean("plain")))
 
 
-def rare_words(counts: DataFrame, least: float) -> DataFrame:
-    """``run``, ``plain``, ``pair``: garbled runs whose word is seen less than ``least`` times, by a join of what each run may
-    have been with all runs.  The most frequent such word counts."""
+def undone(run: str, pair: str) -> str | None:
+    """What a run was before ``written>read`` garbled it; None where it can't have been anything."""
+    written, read = pair.split(">")
+    data = to_bytes(run, read)
+    try:
+        return data.decode(written) if data is not None else None
+    except UnicodeDecodeError:
+        return None
+
+
+def row_evidence(some: DataFrame, counts: DataFrame, proven: DataFrame) -> DataFrame:
+    """``text``, ``proven`` (its proven runs) and ``others`` (what each pair of the text makes of its other runs, with the counts of
+    both) of the texts with a proven run."""
+    runs = some.select("text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(RUN), F.lit(0)))).alias("run"))
+    held = cut(runs.join(broadcast_if_bounded(proven), "run").distinct())
+    texts = held.groupBy("text").agg(F.collect_list(F.struct("run", "plain", "pair")).alias("proven"), F.collect_set("pair").alias("pairs"))
+    texts = cut(texts.withColumn("pairs", F.sort_array(F.filter("pairs", lambda p: ~F.startswith(p, F.lit("utf-8"))))))
+    asked = texts.select("text", "pairs", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(RUN), F.lit(0)))).alias("run")).join(held.select("text", "run"), ["text", "run"], "left_anti")
+    asked = cut(asked.select("text", "run", F.explode("pairs").alias("pair")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(g, n, w, p) for g, n in zip(pdf["run"], pdf["n"]) if len(g) > 1 and not undo_utf8(g) for w, p in origins(g).items() if _wordlike(w)]
-            yield pd.DataFrame(rows, columns=["run", "n", "plain", "pair"])
+            yield pdf.assign(plain=[undone(r, p) for r, p in zip(pdf["run"], pdf["pair"])])
 
-    # a word of n copies explains n / RATIO garbled ones; runs beyond that are judged by the frequent words
-    asked = counts.where((F.col("n") * RATIO < least) & ~F.col("run").contains("\ufffd"))
-    known = counts.select(F.col("run").alias("plain"), F.col("n").alias("n_plain"))
-    found = cut(asked.mapInPandas(run, "run string, n long, plain string, pair string").join(known, "plain").where(F.col("n_plain") >= F.col("n") * RATIO))
-    garbled = found.select(F.col("run").alias("plain")).distinct()
-    best = found.where(F.col("n_plain") < least).join(garbled, "plain", "left_anti").groupBy("run").agg(F.max(F.struct("n_plain", "plain", "pair")).alias("x"))
-    clean = F.udf(lambda w: undo_utf8(w) is None, "boolean")
-    return best.select("run", "x.plain", "x.pair").where(clean("plain"))
+    made = asked.select("run", "pair").distinct().mapInPandas(run, "run string, pair string, plain string")
+    counted = made.join(counts.select("run", "n"), "run", "left").join(counts.select(F.col("run").alias("plain"), F.col("n").alias("n_plain")), "plain", "left").na.fill(0, ["n", "n_plain"])
+    others = asked.join(counted, ["run", "pair"]).groupBy("text").agg(F.collect_list(F.struct("run", "pair", "plain", "n", "n_plain")).alias("others"))
+    return texts.select("text", "proven").join(others, "text", "left")
 
 
 class Patterns:
     """The automaton over garbled sequences, and decisions on runs; one for each Python worker."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self):
         import re
 
         import ahocorasick
 
         self.runs = re.compile(r"[A-Za-z]*[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*")
-        self.counts = counts
-        garbled = {w for w, n in counts.items() if undo_utf8(w) or any(counts.get(r, 0) >= RATIO * n for r in reversals(w))}
-        self.clean = {w: n for w, n in counts.items() if w not in garbled and "�" not in w}
-        self.words: dict[str, tuple[str, str]] = {}
-        for w, n in sorted(self.clean.items(), key=lambda x: -x[1]):
-            for g, pair in garblings(w).items():
-                if counts.get(g, 0) * RATIO <= n:
-                    self.words.setdefault(g, (w, pair))
         self.automaton = ahocorasick.Automaton()
-        leads = [*range(0xC2, 0xE0), *range(0xE0, 0xF5)]
-        for name in READ_AS:
-            for lead in leads:
+        for name in READ_AS + READ_DOUBLE:
+            for lead in range(0xC2, 0xF5):
                 for follow in range(0x80, 0xC0):
-                    self.automaton.add_word(misread(bytes([lead, follow]), name), (0, ""))
-        for g in self.words:
-            self.automaton.add_word(g, (len(g), g))
+                    seen = misread(bytes([lead, follow]), name)
+                    if "\ufffd" not in seen:
+                        self.automaton.add_word(seen, len(seen))
         self.automaton.make_automaton()
         self.known: dict[tuple[str, bool], tuple[str, str] | None] = {}
 
@@ -242,66 +264,49 @@ class Patterns:
         if key not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            if run in self.words:
-                found = self.words[run]
-            elif run in self.clean:
-                found = None
-            else:
-                found = undo_utf8(run)
-                if found is None and at_end:
-                    found = undo_utf8(run, True)
-                if found:
-                    found = found[0], f"utf-8>{found[1]}"
-            self.known[key] = found
+            found = undo_utf8(run)
+            if found is None and at_end:
+                found = undo_utf8(run, True)
+            self.known[key] = found and (found[0], f"utf-8>{found[1]}")
         return self.known[key]
 
-    def _same_pair(self, text: str, spans: list[tuple[int, int, str]], found: list[str]) -> list[tuple[int, int, str]]:
+    def _same_pair(self, text: str, spans: list[tuple[int, int, str]], found: list[str], others: dict[tuple[str, str], tuple[str | None, int, int]]) -> list[tuple[int, int, str]]:
         """Runs outside the spans, too short or too rare to judge alone, that a legacy pair found in the text turns into
         words, or, where that gives plausible text throughout, into others."""
-        pairs = [p.split(">") for p in dict.fromkeys(found) if not p.startswith("utf-8")]
+        pairs = [p for p in dict.fromkeys(found) if not p.startswith("utf-8")]
         left = [m for m in self.runs.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in spans)] if pairs else []
         out, rest = [], []
         for m in left:
-            plains = [self._undo(m[0], *p) for p in pairs]
-            known = next((x for x in plains if x is not None and x != m[0] and x in self.clean and self.counts[x] >= RATIO * self.counts.get(m[0], 0)), None)
+            plains = [others.get((m[0], p), (None, 0, 0)) for p in pairs]
+            known = next((x for x, n, more in plains if x is not None and x != m[0] and more and more >= RATIO * n and (more >= LEAST_COUNT or _wordlike(x))), None)
             if known is None:
                 rest.append((m, plains))
             else:
                 out.append((m.start(), m.end(), known))
         for i in range(len(pairs)):
-            if all(x[i] is not None and (x[i] == m[0] or _wordlike(x[i]) and (m[0] not in self.clean or x[i] in self.counts)) for m, x in rest):
-                return out + [(m.start(), m.end(), x[i]) for m, x in rest if x[i] != m[0]]
+            if all(x[i][0] is not None and (x[i][0] == m[0] or _wordlike(x[i][0]) and (x[i][1] < LEAST_COUNT or x[i][2])) for m, x in rest):
+                return out + [(m.start(), m.end(), x[i][0]) for m, x in rest if x[i][0] != m[0]]
         return out
 
-    @staticmethod
-    def _undo(run: str, written: str, read: str) -> str | None:
-        data = to_bytes(run, read)
-        try:
-            return data.decode(written) if data is not None else None
-        except UnicodeDecodeError:
-            return None
-
-    def look(self, text: str, rare: dict[str, tuple[str, str]] | None = None) -> tuple[str | None, list[str]]:
-        """(text with garbled runs restored, or None where something is lost; what was found).  ``rare``: garbled runs of the
-        text whose words are rare, to (word, pair)."""
+    def look(self, text: str, proven: dict[str, tuple[str, str]] | None = None, others: dict[tuple[str, str], tuple[str | None, int, int]] | None = None) -> tuple[str | None, list[str]]:
+        """(text with garbled runs restored, or None where something is lost; what was found).  ``proven``: garbled runs of the
+        text to (word, pair); ``others``: other runs and pairs to (what the pair makes of it, counts of both)."""
         if text.isascii():
             return text, []
         found, spans = [], []
         done = 0
         n = len(text)
-        for end, (size, word) in self.automaton.iter(text):
+        for m in self.runs.finditer(text) if proven else ():
+            if m[0] in proven:
+                plain, pair = proven[m[0]]
+                spans.append((m.start(), m.end(), plain))
+                found.append(pair)
+        held = list(spans)
+        for end, size in self.automaton.iter(text):
             end += 1
-            if end <= done:
-                continue
-            if word:
-                start = end - size
-                if start >= done and not (start and _joins(text[start - 1])) and not (end < n and _joins(text[end])):
-                    plain, pair = self.words[word]
-                    spans.append((start, end, plain))
-                    found.append(pair)
-                    done = end
+            if end <= done or any(s < end and end - size < e for s, e, _ in held):
                 continue
-            start, stop = end - 2, end
+            start, stop = end - size, end
             while start > done and _joins(text[start - 1]):
                 start -= 1
             while stop < n and _joins(text[stop]):
@@ -311,13 +316,8 @@ class Patterns:
                 spans.append((start, stop, undone[0]))
                 found.append(undone[1])
                 done = stop
-        for m in self.runs.finditer(text) if rare else ():
-            if m[0] in rare and not any(s < m.end() and m.start() < e for s, e, _ in spans):
-                plain, pair = rare[m[0]]
-                spans.append((m.start(), m.end(), plain))
-                found.append(pair)
-        spans += self._same_pair(text, spans, found)
-        lost = "�" in text
+        spans += self._same_pair(text, spans, found, others or {})
+        lost = "\ufffd" in text
         if lost:
             found.append("lost")
         if not found:
@@ -334,34 +334,31 @@ def _joins(c: str) -> bool:
     return c > "\x7f" or "a" <= c <= "z" or "A" <= c <= "Z"
 
 
-_PATTERNS: dict[int, Patterns] = {}
+_PATTERNS: list[Patterns] = []
 
 
 def find_garbled(df: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """``df`` has ``tbl``, ``row_id`` and ``text``; gives ``tbl``, ``row_id``, ``text``, ``restored``, ``pairs`` of the
     garbled rows.  ``corpus``: the texts words are counted in, by default the same."""
     every = all_run_counts(df if corpus is None else corpus)
-    least = least_count(every)
-    counts = {r["run"]: r["n"] for r in every.where(F.col("n") >= least).collect()}
-    shared = df.sparkSession.sparkContext.broadcast((counts, hash(frozenset(counts.items()))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, key = shared.value
-        if key not in _PATTERNS:
-            _PATTERNS.clear()
-            _PATTERNS[key] = Patterns(words)
-        look = _PATTERNS[key].look
+        if not _PATTERNS:
+            _PATTERNS.append(Patterns())
+        look = _PATTERNS[0].look
         for pdf in batches:
             rows = []
-            for tbl, row_id, text, rare in zip(pdf["tbl"], pdf["row_id"], pdf["text"], pdf["rare"]):
-                restored, pairs = look(text, None if rare is None else {x["run"]: (x["plain"], x["pair"]) for x in rare})
+            for tbl, row_id, text, proven, others in zip(pdf["tbl"], pdf["row_id"], pdf["text"], pdf["proven"], pdf["others"]):
+                restored, pairs = look(
+                    text,
+                    None if proven is None else {x["run"]: (x["plain"], x["pair"]) for x in proven},
+                    None if others is None else {(x["run"], x["pair"]): (x["plain"], x["n"], x["n_plain"]) for x in others},
+                )
                 if pairs:
                     rows.append((tbl, row_id, text, restored, ", ".join(pairs)))
             yield pd.DataFrame(rows, columns=["tbl", "row_id", "text", "restored", "pairs"])
 
-    some = df.where(F.octet_length("text") != F.length("text"))
-    rare = rare_words(every, least)
-    held = some.select("text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(RUN), F.lit(0)))).alias("run"))
-    held = held.join(broadcast_if_bounded(cut(rare)), "run").distinct().groupBy("text").agg(F.collect_list(F.struct("run", "plain", "pair")).alias("rare"))
-    rows = some.select("tbl", F.col("row_id").cast("long").alias("row_id"), "text").join(broadcast_if_bounded(cut(held)), "text", "left")
-    return rows.select("tbl", "row_id", "text", "rare").mapInPandas(run, "tbl string, row_id long, text string, restored string, pairs string")
+    some = df.where(F.octet_length("text") != F.length("text")).select("tbl", F.col("row_id").cast("long").alias("row_id"), "text")
+    evidence = row_evidence(some, every, proven_runs(every))
+    rows = some.join(broadcast_if_bounded(cut(evidence)), "text", "left")
+    return rows.select("tbl", "row_id", "text", "proven", "others").mapInPandas(run, "tbl string, row_id long, text string, restored string, pairs string")
