@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 DATA, PARITY = 11, 4
 PLACES = DATA + PARITY
 GROUPS = 1024
+#: Most tasks that count, and counters that one task sums.
+MAX_SKETCHES, FAN = 4096, 64
 #: Combinations tried for one group before it is split instead.
 MAX_WORDS = 1 << 21
 
@@ -85,8 +87,9 @@ def word_of(value) -> F.Column:
 
 
 def sketch(df: DataFrame, columns: list[str], groups: int) -> tuple[int, dict[str, np.ndarray]]:
-    """(rows, counters of each column).  Each task keeps its counters in one array; they are summed in
-    slices of groups, so that neither the shuffle nor the driver sees anything that grows with the data."""
+    """(rows, counters of each column).  Each task keeps its counters in one array.  At most ``MAX_SKETCHES`` tasks read the
+    input, and their counters are summed as a tree, ``FAN`` at a time in slices of groups, so that neither the shuffle, a task nor the
+    driver sees anything that grows with the data."""
     slices = 16
     width = groups // slices * PLACES * 16
 
@@ -106,25 +109,32 @@ def sketch(df: DataFrame, columns: list[str], groups: int) -> tuple[int, dict[st
                 for p in range(PLACES):
                     table += np.bincount(base + p * 16 + code[:, p], weights=times, minlength=len(table)).astype(np.int64)
         if rows:
+            from pyspark import TaskContext
+
+            part = TaskContext.get().partitionId()
             for i, table in enumerate(tables):
                 for s in range(slices):
-                    yield pa.RecordBatch.from_pydict({"column": [i], "slice": [s], "rows": [rows if i == s == 0 else 0], "counts": [table[s * width : (s + 1) * width].tobytes()]}, schema=kinds)
+                    yield pa.RecordBatch.from_pydict({"part": [part], "column": [i], "slice": [s], "rows": [rows if i == s == 0 else 0], "counts": [table[s * width : (s + 1) * width].tobytes()]}, schema=kinds)
 
-    kinds = pa.schema([("column", pa.int32()), ("slice", pa.int32()), ("rows", pa.int64()), ("counts", pa.binary())])
+    kinds = pa.schema([("part", pa.int32()), ("column", pa.int32()), ("slice", pa.int32()), ("rows", pa.int64()), ("counts", pa.binary())])
 
     def add(key, pdf):
         import pandas as pd
 
         total = reduce(np.add, (np.frombuffer(b, np.int64) for b in pdf["counts"]))
-        return pd.DataFrame({"column": [key[0]], "slice": [key[1]], "rows": [pdf["rows"].sum()], "counts": [total.tobytes()]})
+        return pd.DataFrame({"part": [key[0]], "column": [key[1]], "slice": [key[2]], "rows": [pdf["rows"].sum()], "counts": [total.tobytes()]})
 
     hashed = []
     for c in columns:
         known = F.col(c).isNotNull()
         hashed += [F.when(known, F.pmod(F.xxhash64(F.lit("group"), F.col(c)), F.lit(groups))).cast("int"), F.when(known, word_of(F.col(c)))]
-    shape = "column int, slice int, rows long, counts binary"
-    parts = df.select(*[h.alias(f"h{i}") for i, h in enumerate(hashed)]).mapInArrow(count, shape)
-    found = parts.groupBy("column", "slice").applyInPandas(add, shape).collect()
+    shape = "part int, column int, slice int, rows long, counts binary"
+    level = df.coalesce(MAX_SKETCHES).select(*[h.alias(f"h{i}") for i, h in enumerate(hashed)]).mapInArrow(count, shape)
+    parts = min(MAX_SKETCHES, df.rdd.getNumPartitions())
+    while parts > 1:
+        level = level.groupBy(F.floor(F.col("part") / F.lit(FAN)).cast("int").alias("part"), "column", "slice").applyInPandas(add, shape)
+        parts = -(-parts // FAN)
+    found = level.collect()
     tables = {c: np.zeros(groups * PLACES * 16, np.int64) for c in columns}
     for r in found:
         tables[columns[r["column"]]][r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)

@@ -52,17 +52,23 @@ def sized_documents(docs: DataFrame, targets: DataFrame, tokens: DataFrame | Non
     return cut(sized.select("doc_id", "source", "n_tokens", "cap", F.log(F.col("n_tokens").cast("double")).alias("log_length")))
 
 
-def _rate(lam: dict[str, float], mu: float) -> F.Column:
-    shift = F.coalesce(*[F.when(F.col("source") == s, F.lit(float(v))) for s, v in lam.items()]) if lam else F.lit(0.0)
-    return F.least(F.col("cap").cast("double"), F.exp(F.least(shift + F.lit(mu) * F.col("z"), F.lit(50.0))))
+def _with_value(df: DataFrame, values: dict[str, float], name: str) -> DataFrame:
+    """``df`` with a value for its source, by a join with at most ``MAX_SOURCES`` rows."""
+    few = df.sparkSession.createDataFrame([(s, float(v)) for s, v in values.items()], f"source string, {name} double")
+    return df.join(F.broadcast(few), "source")
+
+
+def _rate(mu: float) -> F.Column:
+    return F.least(F.col("cap").cast("double"), F.exp(F.least(F.col("lam") + F.lit(mu) * F.col("z"), F.lit(50.0))))
 
 
 def _moments(sized: DataFrame, lam: dict[str, float], mu: float) -> dict[str, np.ndarray]:
     """Of each source: tokens, tokens times z, and of the uncapped part the second moments 1, z, z*z; then the dual's
     own value."""
-    w, t, z = _rate(lam, mu), F.col("n_tokens").cast("double"), F.col("z")
+    sized = _with_value(sized, lam, "lam")
+    w, t, z = _rate(mu), F.col("n_tokens").cast("double"), F.col("z")
     cap = F.col("cap").cast("double")
-    eta = F.coalesce(*[F.when(F.col("source") == s, F.lit(float(v))) for s, v in lam.items()]) + F.lit(mu) * z
+    eta = F.col("lam") + F.lit(mu) * z
     free = F.when(w < cap, w).otherwise(0.0)
     phi = F.when(w < cap, w).otherwise(cap * (1 + eta - F.log(cap)))
     rows = sized.groupBy("source").agg(*[F.sum(x).alias(f"m{i}") for i, x in enumerate((t * w, t * w * z, t * free, t * free * z, t * free * z * z, t * phi))]).collect()
@@ -130,11 +136,10 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: float | None
     if pool:
         lam, mu, _ = balance(sized, goal, length and spread > 1e-4)
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    rated = sized.withColumn("rate", _rate(lam, mu)).withColumn("u", u)
+    rated = _with_value(sized, lam, "lam").withColumn("rate", _rate(mu)).withColumn("u", u)
     shift = _rounding_shift(rated, goal)
-    offset = F.coalesce(*[F.when(F.col("source") == s, F.lit(v)) for s, v in shift.items()]) if shift else F.lit(0.0)
-    copies = F.greatest(F.lit(0), F.least(F.col("cap"), F.floor(F.col("rate") + F.col("u") + offset))).cast("int")
-    chosen = rated.withColumn("copies", copies)
+    copies = F.greatest(F.lit(0), F.least(F.col("cap"), F.floor(F.col("rate") + F.col("u") + F.col("offset")))).cast("int")
+    chosen = _with_value(rated, shift, "offset").withColumn("copies", copies)
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").cast("long").alias("mixed_docs"), F.max("copies").alias("most_copies"), F.sum("n_tokens").alias("pool_tokens"), F.count("*").alias("pool_docs"))
     all_tokens = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))  # over one row a source
     report = (
@@ -156,9 +161,8 @@ def _rounding_shift(rated: DataFrame, goal: dict[str, float], grid: int = 16, ro
     step = 2.0 / grid
     best = {s: 0.0 for s in goal}
     for _ in range(rounds if goal else 0):
-        base = F.coalesce(*[F.when(F.col("source") == s, F.lit(v)) for s, v in low.items()])
-        made = [F.sum(F.col("n_tokens") * F.greatest(F.lit(0), F.least(F.col("cap"), F.floor(F.col("rate") + F.col("u") + base + F.lit(i * step))))).alias(f"c{i}") for i in range(grid + 1)]
-        for r in rated.groupBy("source").agg(*made).collect():
+        made = [F.sum(F.col("n_tokens") * F.greatest(F.lit(0), F.least(F.col("cap"), F.floor(F.col("rate") + F.col("u") + F.col("low") + F.lit(i * step))))).alias(f"c{i}") for i in range(grid + 1)]
+        for r in _with_value(rated, low, "low").groupBy("source").agg(*made).collect():
             s, counts = r["source"], np.array(r[1:], float)
             k = int(np.abs(counts - goal[s]).argmin())
             best[s] = low[s] + k * step

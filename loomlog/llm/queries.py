@@ -24,6 +24,12 @@ def p1_runs(spark: SparkSession, d: str) -> DataFrame:
     return _syslog_runs(spark, d, 1)
 
 
+def p1_similar(spark: SparkSession, d: str) -> DataFrame:
+    """Runs under tolerances: four of five words as in the run's anchor, and no pause of more than ten minutes."""
+    lines = table(spark, d, "syslogline")
+    return runs.collapse_runs(lines, ("logsource", "program"), "timestamp", "message", "line_id", "seq", ("logsource", "seq"), max_gap=600.0, similarity=0.8)
+
+
 def p3_items(spark: SparkSession, d: str) -> DataFrame:
     return heavy.frequent_items(table(spark, d, "syslogline"), ["message", "program"], 0.005)
 
@@ -84,7 +90,7 @@ def p10_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_runs, p3_found, p3_items, p4_found, p4_rates, p7_found, p7_restored, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_passages, p10_classes)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p1_similar, p3_found, p3_items, p4_found, p4_rates, p7_found, p7_restored, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_passages, p10_classes)}
 
 
 P3 = """

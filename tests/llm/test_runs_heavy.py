@@ -75,6 +75,41 @@ def test_gap_similarity_and_empty(spark):
     assert sorted(r["n_events"] for r in long.collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("partitions", [1, 5, 40])
+def test_similar_runs_of_a_hot_entity(spark, partitions):
+    """Anchors are carried over range borders: the result is that of one state machine over each whole entity."""
+    r = random.Random(6)
+    rows, at, words = [], 0, list("abcde")
+    for i in range(900):
+        at += r.choice([1, 1, 1, 1, 400])
+        if r.random() < 0.3:
+            words[r.randrange(5)] = r.choice("abcdefgh")
+        rows.append((i, START + timedelta(seconds=at), "hot" if i % 10 else "cold", "p", i, " ".join(words)))
+    want = []
+    for source in ("hot", "cold"):
+        anchor = last = None
+        for i, t, s, _, _, m in rows:
+            if s != source:
+                continue
+            if anchor is not None and (t - last).total_seconds() <= 60 and runs.token_similarity(anchor, m) >= 0.6:
+                want[-1][1:] = [i, want[-1][2] + 1]
+            else:
+                anchor = m
+                want.append([i, i, 1])
+            last = t
+    got = collapse(lines(spark, rows).repartition(7), max_gap=60.0, similarity=0.6, partitions=partitions)
+    assert sorted((x["first_id"], x["last_id"], x["n_events"]) for x in got.collect()) == sorted(map(tuple, want))
+    # one run over many ranges
+    same = collapse(lines(spark, [(i, START + timedelta(seconds=i), "hot", "p", i, f"w x y {'pqr'[i % 3]}") for i in range(300)]), similarity=0.7, partitions=partitions)
+    assert [(x["first_id"], x["last_id"], x["n_events"]) for x in same.collect()] == [(0, 299, 300)]
+
+
+def test_counters_are_summed_as_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(heavy, "FAN", 3)
+    df = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.lit("often")).otherwise(F.col("id").cast("string")).alias("message")).repartition(20)
+    assert [(x["item"], x["n"]) for x in heavy.frequent_items(df, ["message"], 0.1).collect()] == [("often", 1000)]
+
+
 def test_code_has_distance_five():
     words = np.random.default_rng(1).integers(0, 16, (400, heavy.DATA)).astype(np.uint8)
     code = heavy.encode(words)
