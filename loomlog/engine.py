@@ -33,7 +33,8 @@ class Engine:
 
     def parse(self, messages: DataFrame) -> DataFrame:
         """Messages with batches, typed columns and ``_error``."""
-        batched = batching.with_batches(messages, self.config.output_batch_size)
+        # without numbers of messages there are no batches, and nothing that would ask for them
+        batched = batching.with_batches(messages, self.config.output_batch_size) if "_seq" in messages.columns else messages
         return parsing.parse_messages(batched, self.pattern, self.config.schema, self.config.default_year)
 
     def run(self, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +43,8 @@ class Engine:
         good = parsing.parsed(rows)
         if self.query is None:
             # splits are in order by themselves; only a single printed stream needs sorting
-            return good.orderBy("_file", "_seq") if self.config.output == "-" else good, parsing.rejected(rows)
+            place = ["_file", "_seq"] if "_seq" in good.columns else ["_file", "_block", "_pos"]
+            return good.orderBy(*place) if self.config.output == "-" else good, parsing.rejected(rows)
         return self.query(good, self.config.scope), parsing.rejected(rows)
 
     def write(self, df: DataFrame, ddl: bool) -> None:
@@ -86,7 +88,7 @@ def run_batch(spark: SparkSession, config: EngineConfig) -> None:
     if config.input == "-":
         messages = framing.messages_from_lines(spark, sys.stdin, config.merge_multi_line)
     else:
-        messages = framing.read_messages(spark, config.input, config.merge_multi_line)
+        messages = framing.read_messages(spark, config.input, config.merge_multi_line, sequence=engine.query is not None)
     result, rejected = engine.run(messages)
     engine.write(result, config.output_add_ddl)
     engine.write_rejects(rejected)
