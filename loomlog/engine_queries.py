@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import parse_column
+from .config import ConfigError, parse_column, parse_input
 from .engine import default_patterns
 from .functions import grok
 from .functions.typespec import parse_spec
 from .operators import batching, framing, parsing
 from .plans.compiler import run_query
-from .session import table
+from .session import checkpoint_dir, table
 from .sinks import formats
+from .streaming.lines import LineBuffer
 
 #: Queries of the SQL front end: name to (table, query, the same for DuckDB).  Doubles are rounded on both sides.
 SELECTS: dict[str, tuple[str, str, str]] = {
@@ -195,6 +197,108 @@ def type_conversions(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(found.select("line_id", *[parse_spec(k).convert(F.col("x")).alias(n) for n, k in kinds.items()]))
 
 
+def _parsed(spark: SparkSession, d: str, patterns: dict[str, str], expression: str, columns: tuple[str, ...], **options) -> DataFrame:
+    g = grok.expand(expression, grok.library(patterns, options.pop("ignore_defaults", False)), **options)
+    return parsing.parse_messages(_event_lines(spark, d), g, tuple(map(parse_column, columns)))
+
+
+def grok_required(spark: SparkSession, d: str) -> DataFrame:
+    """The user is required and only converts up to two digits, as a text of two bytes."""
+    rows = _parsed(spark, d, EVENT_PATTERNS, "%{EVENT}", ("+user:str:2", "kind"))
+    return rows.select(F.col("_seq").alias("event_id"), "user", "kind", F.col("_error").alias("reason"))
+
+
+def grok_alias_only(spark: SparkSession, d: str) -> DataFrame:
+    """Only aliases capture, so the column of a pattern's own name stays empty; a second lookup takes its place."""
+    rows = _parsed(spark, d, {"PAIR": r"%{WORD}\[%{NONNEGINT:user}\]"}, "%{PAIR:pair}", ("WORD", "+who,user:int"), alias_only=True)
+    return rows.select(F.col("_seq").alias("event_id"), "WORD", "who")
+
+
+def grok_own_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns of a file, without the default library."""
+    own = grok.read_patterns("# letters and digits\nNAME [a-z]+\n\nUSER [0-9]+\nEVENT %{NAME:kind}\\[%{USER:user}\\]")
+    rows = _parsed(spark, d, own, "%{EVENT}", ("+kind", "+user:int"), ignore_defaults=True)
+    return parsing.parsed(rows).select(F.col("_seq").alias("event_id"), "kind", "user")
+
+
+# Files
+
+
+def _written_lines(spark: SparkSession, d: str) -> str:
+    """A folder of text files with two lines of each event: a header with a priority, and an indented one."""
+    path = f"{checkpoint_dir(spark)}/lines-{uuid.uuid4()}"
+    both = F.array(F.concat(F.lit("<13>"), "event_type", F.lit(" "), F.col("event_id").cast("string")), F.concat(F.lit("\t"), "props"), F.lit(""))
+    table(spark, d, "events").select(F.explode(both).alias("value")).write.text(path)
+    return path
+
+
+def file_lines(spark: SparkSession, d: str) -> DataFrame:
+    return framing.read_messages(spark, _written_lines(spark, d), sequence=False).select(F.col("_raw").alias("line"))
+
+
+def file_merged(spark: SparkSession, d: str) -> DataFrame:
+    return framing.read_messages(spark, _written_lines(spark, d), True, sequence=False).select(F.col("_raw").alias("message"))
+
+
+def file_batches(spark: SparkSession, d: str) -> DataFrame:
+    """How many batches of seven messages hold how many: whole ones but for the last one of each file."""
+    messages = batching.with_batches(framing.read_messages(spark, _written_lines(spark, d), True), 7)
+    sizes = messages.groupBy("_batch").agg(F.count("*").alias("n"))
+    return sizes.agg(F.sum("n").alias("messages"), F.max("n").alias("largest"))
+
+
+def stream_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Messages from the bytes of a connection as they arrive, with and without merging."""
+    parts = [b"<13>fir", b"st\r\n\tmore\n\n", b"<>second \xff\xe9\n", b" even more\n<7>last"]
+    rows = []
+    for merge in (False, True):
+        buffer = LineBuffer(merge)
+        found = [m for p in parts for m in buffer.feed(p)] + buffer.flush()
+        rows += [(merge, i, m) for i, m in enumerate(found)]
+    return spark.createDataFrame(rows, "merge boolean, place long, message string")
+
+
+def stream_flushes(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of batches by counts that arrive and ticks."""
+    cases = {"end": ([99], 10), "no size": ([99], 0), "tick": ([3, None, 4], 10), "tick after a full batch": ([12, None, None, 1], 10)}
+    return spark.createDataFrame([(k, i, n) for k, (counts, size) in cases.items() for i, n in enumerate(batching.flush_sizes(counts, size))], "name string, place long, n long")
+
+
+def input_addresses(spark: SparkSession, d: str) -> DataFrame:
+    def read(text: str) -> tuple:
+        try:
+            found = parse_input(text)
+        except ConfigError:
+            return text, "refused", None, None
+        return (text, "path", None, None) if isinstance(found, str) else (text, found.proto, found.host, found.port)
+
+    texts = ("-", "app.log", "syslog-tcp:127.0.0.1:514", "syslog-udp:[::1]:514", "syslog-udp:::1:514", "syslog-tls:h:1", "syslog-tcp:h", "syslog-tcp:h:99999")
+    return spark.createDataFrame([read(x) for x in texts], "text string, kind string, host string, port long")
+
+
+REFUSED = {
+    "qualified star": "select e.* from events e", "duplicate names": "select event_id as a, user_id as a from events", "column outside groups": "select event_type, value, count(*) from events group by 1",
+    "star beside aggregate": "select *, count(*) from events", "sum of nothing": "select sum() from events", "sum of two": "select sum(value, user_id) from events", "unknown function": "select sqrt(value) from events",
+    "unknown column": "select nothing from events", "unknown in where": "select event_id from events where nothing > 1", "join": "select event_id from events, orders", "union": "select 1 from events union select 2 from events",
+    "two statements": "select event_id from events; select 1 from events", "insert": "insert into events values (1)", "ordinal": "select event_id from events order by 4", "limit of a column": "select event_id from events limit user_id",
+    "none": "select event_id from events",
+}
+
+
+def refusals(spark: SparkSession, d: str) -> DataFrame:
+    """Which queries the front end refuses before any data is read."""
+    events = table(spark, d, "events")
+
+    def refused(query: str) -> bool:
+        try:
+            run_query(events, query, table="events")
+        except (ValueError, NotImplementedError):
+            return True
+        return False
+
+    return spark.createDataFrame([(name, refused(query)) for name, query in REFUSED.items()], "name string, refused boolean")
+
+
 # Sinks
 
 
@@ -206,6 +310,10 @@ def sql_insert_text(spark: SparkSession, d: str) -> DataFrame:
     return formats.insert_statements(table(spark, d, "nation"), "nation", 1)
 
 
+def sql_insert_many(spark: SparkSession, d: str) -> DataFrame:
+    return formats.insert_statements(table(spark, d, "nation").orderBy("n_nationkey").coalesce(1), "nation", 10)
+
+
 def sql_create_text(spark: SparkSession, d: str) -> DataFrame:
     names = ("region", "nation", "customer", "supplier", "part", "orders", "events")
     return spark.createDataFrame([(n, formats.create_table(table(spark, d, n).schema, n)) for n in names], "name string, ddl string")
@@ -220,6 +328,27 @@ _NUMBERED = "(SELECT *, ((row_number() OVER (ORDER BY event_id) - 1) // 1000)::B
 _QUOTED = r"""coalesce(CASE WHEN regexp_matches({0}, '[",\r\n]') THEN '"' || replace({0}, '"', '""') || '"' ELSE {0} END, 'NULL')"""
 
 ORACLES = {
+    "grok_required": "SELECT event_id, CASE WHEN len(user_id::VARCHAR) <= 2 THEN user_id::VARCHAR END AS user, event_type AS kind, CASE WHEN len(user_id::VARCHAR) > 2 THEN 'no value for required column user' END AS reason FROM events",
+    "grok_alias_only": "SELECT event_id, NULL::VARCHAR AS \"WORD\", user_id AS who FROM events",
+    "grok_own_patterns": "SELECT event_id, event_type AS kind, user_id AS user FROM events",
+    "file_lines": "SELECT event_type || ' ' || event_id AS line FROM events UNION ALL SELECT chr(9) || props FROM events",
+    "file_merged": "SELECT event_type || ' ' || event_id || ' ' || chr(9) || props AS message FROM events",
+    "file_batches": "SELECT count(*) AS messages, 7::BIGINT AS largest FROM events",
+    "stream_lines": """SELECT * FROM (VALUES (false, 0::BIGINT, 'first'), (false, 1, chr(9) || 'more'), (false, 2, 'second ' || chr(65533) || chr(65533)), (false, 3, ' even more'), (false, 4, 'last'),
+        (true, 0, 'first ' || chr(9) || 'more'), (true, 1, 'second ' || chr(65533) || chr(65533) || '  even more'), (true, 2, 'last')) t(merge, place, message)""",
+    "stream_flushes": """SELECT 'end' AS name, i AS place, CASE WHEN i < 9 THEN 10 ELSE 9 END::BIGINT AS n FROM range(10) t(i)
+        UNION ALL SELECT * FROM (VALUES ('no size', 0, 99), ('tick', 0, 3), ('tick', 1, 4), ('tick after a full batch', 0, 10), ('tick after a full batch', 1, 2), ('tick after a full batch', 2, 1))""",
+    "input_addresses": """SELECT text, kind, host, port::BIGINT AS port FROM (VALUES ('-', 'path', NULL, NULL), ('app.log', 'path', NULL, NULL), ('syslog-tcp:127.0.0.1:514', 'tcp', '127.0.0.1', 514),
+        ('syslog-udp:[::1]:514', 'udp', '::1', 514), ('syslog-udp:::1:514', 'udp', '::1', 514), ('syslog-tls:h:1', 'refused', NULL, NULL), ('syslog-tcp:h', 'refused', NULL, NULL), ('syslog-tcp:h:99999', 'refused', NULL, NULL)) t(text, kind, host, port)""",
+    "refusals": "SELECT name, name <> 'none' AS refused FROM (VALUES " + ", ".join(f"('{n}')" for n in REFUSED) + ") t(name)",
+    "sql_insert_many": """
+        SELECT 'INSERT INTO nation (n_nationkey, n_name, n_regionkey)' || chr(10) || ' VALUES ' || chr(10) || string_agg('(' || n_nationkey || ', ''' || n_name || ''', ' || n_regionkey || ')', ',' || chr(10) ORDER BY n_nationkey) || ';' AS value
+        FROM (SELECT *, (row_number() OVER (ORDER BY n_nationkey) - 1) // 10 AS part FROM nation) GROUP BY part""",
+    "sql_create_text": """
+        SELECT table_name AS name, 'CREATE TABLE ' || table_name || ' (' || chr(10) || string_agg('    ' || column_name || ' ' || CASE
+            WHEN data_type IN ('INTEGER', 'BIGINT') THEN 'BIGINT' WHEN data_type = 'DOUBLE' THEN 'DOUBLE' WHEN data_type = 'VARCHAR' THEN 'TEXT' WHEN data_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP' WHEN data_type = 'DATE' THEN 'DATE' WHEN data_type = 'BOOLEAN' THEN 'BOOLEAN' END,
+            ',' || chr(10) ORDER BY column_index) || chr(10) || ');' AS ddl
+        FROM duckdb_columns() WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'events') GROUP BY table_name""",
     "log_aggregates": """
         SELECT program, coalesce(sum(pid), 0)::BIGINT AS total, round(coalesce(sum(pid::DOUBLE), 0) / count(*), 4) AS mean, CASE WHEN count(*) = count(pid) THEN min(pid) END AS least,
                max(pid) AS most, count(*) AS n, count(DISTINCT pid) + (count(*) > count(pid))::BIGINT AS kinds FROM syslogline GROUP BY 1""",
@@ -253,7 +382,7 @@ ORACLES = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         log_aggregates, log_null_compare, batch_count, batch_limit, batch_topn, batch_group_topn, sequence, grok_roundtrip, grok_times, grok_reject, line_split, merge_multiline, priority_strip, type_conversions,
-        csv_text, sql_insert_text, sql_create_text, list_patterns,
+        csv_text, sql_insert_text, sql_insert_many, sql_create_text, list_patterns, grok_required, grok_alias_only, grok_own_patterns, file_lines, file_merged, file_batches, stream_lines, stream_flushes, input_addresses, refusals,
     )
     return {name: _select(name) for name in SELECTS} | {f.__name__: f for f in named}
 

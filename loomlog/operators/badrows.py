@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timefmt
 from ..functions.typespec import FLOAT_PATTERN, INT_PATTERN, TypeSpec, parse_spec
+from ..session import broadcast_if_bounded
 
 BLOCK = 512
 #: Blocks of so few records are diagnosed one by one, as the columnar path costs more than that.
@@ -222,6 +223,14 @@ def typed_records(judged: DataFrame, schemas: dict[str, list[Field]], default_ye
     return valid.select("row_id", "schema_name", (F.struct(*one_of) if one_of else F.lit(None)).alias("record"))
 
 
+def named_values(judged: DataFrame, schemas: dict[str, list[Field]]) -> DataFrame:
+    """``row_id``, ``name``, ``value`` (text, null where empty) of each column of the valid rows."""
+    rows = [(s, i, f.name) for s, fields in schemas.items() for i, f in enumerate(fields)]
+    names = judged.sparkSession.createDataFrame(rows, "schema_name string, place int, name string")
+    pairs = judged.where("reason is null").select("row_id", "schema_name", F.posexplode("values").alias("place", "value"))
+    return pairs.join(broadcast_if_bounded(names), ["schema_name", "place"]).select("row_id", "name", "value")
+
+
 def rejects(judged: DataFrame) -> DataFrame:
     """(``row_id``, ``desc``, ``raw_msg``) of bad rows: the reason, with the column where there is one."""
     desc = F.when(F.col("bad_column").isNull(), F.col("reason")).otherwise(F.concat_ws(": ", "reason", "bad_column"))

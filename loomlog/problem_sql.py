@@ -133,4 +133,14 @@ chosen AS (
 )
 SELECT capture_id, strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%fZ') AS ts_utc FROM chosen WHERE us IS NOT NULL"""
 
-ORACLES = {"p2_found": P2, "p5_found": P5, "p6_found": P6}
+P5_REJECTS = P5.replace("SELECT rec_id, col_pos, CASE", "SELECT rec_id, col_pos, name, CASE").split(")\nSELECT rec_id, 'quoting'")[0] + """)
+, told AS (
+    SELECT rec_id, 'quoting' AS "desc" FROM split JOIN wanted USING (schema_name) WHERE NOT sound
+    UNION ALL SELECT rec_id, 'column_count' FROM split JOIN wanted USING (schema_name) WHERE sound AND len(parts) <> n
+    UNION ALL SELECT rec_id, first(reason || ': ' || name ORDER BY col_pos) FROM judged WHERE reason IS NOT NULL GROUP BY rec_id
+    UNION ALL SELECT rec_id, 'no_schema' FROM records WHERE schema_name IS NULL OR schema_name NOT IN (SELECT schema_name FROM wanted))
+SELECT rec_id AS row_id, "desc", raw_msg FROM told JOIN records USING (rec_id)"""
+P5_VALUES = P5.split(")\nSELECT rec_id, 'quoting'")[0] + """)
+SELECT rec_id AS row_id, name, nullif(v, '') AS value FROM plain JOIN parsercoldef USING (schema_name, col_pos) WHERE rec_id NOT IN (SELECT rec_id FROM judged WHERE reason IS NOT NULL)"""
+
+ORACLES = {"p2_found": P2, "p5_found": P5, "p5_rejects": P5_REJECTS, "p5_values": P5_VALUES, "p6_found": P6}

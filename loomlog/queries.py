@@ -58,6 +58,12 @@ def p5_valid(spark: SparkSession, d: str) -> DataFrame:
     return badrows.typed_records(*_judged_records(spark, d))
 
 
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of the valid records of all schemas, as texts by column name."""
+    judged, schemas = _judged_records(spark, d)
+    return badrows.named_values(judged, schemas)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     found = timestamps.capture_times(table(spark, d, "syslogcapture"), table(spark, d, "logsource"), table(spark, d, "timetypeformat"))
     return found.where("ts_us is not null").select("capture_id", timestamps.utc_text(F.col("ts_us")).alias("ts_utc"))
@@ -68,7 +74,7 @@ def p6_zones(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return engine_queries.queries() | {f.__name__: f for f in (p2_found, p2_entries, p5_found, p5_rejects, p5_valid, p6_found, p6_zones)}
+    return engine_queries.queries() | {f.__name__: f for f in (p2_found, p2_entries, p5_found, p5_rejects, p5_valid, p5_values, p6_found, p6_zones)}
 
 
 def oracle_sql() -> dict[str, str]:
