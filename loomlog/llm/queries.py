@@ -21,7 +21,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_runs(spark: SparkSession, d: str) -> DataFrame:
-    return _syslog_runs(spark, d, 1)
+    found = _syslog_runs(spark, d, 1)
+    return found.select("logsource", "program", "first_id", "last_id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), "n_events", "duration_s")
 
 
 def p1_similar(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +35,11 @@ def p3_items(spark: SparkSession, d: str) -> DataFrame:
     return heavy.frequent_items(table(spark, d, "syslogline"), ["message", "program"], 0.005)
 
 
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Exact counts and shares of the frequent items."""
+    return p3_items(spark, d).drop("approx_count")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_items(spark, d).select("field", "item")
 
@@ -90,13 +96,14 @@ def p10_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_runs, p1_similar, p3_found, p3_items, p4_found, p4_rates, p7_found, p7_restored, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_passages, p10_classes)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p1_similar, p3_found, p3_items, p3_counts, p4_found, p4_rates, p7_found, p7_restored, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_passages, p10_classes)}
 
 
 P3 = """
 WITH v AS (SELECT 'message' AS field, message AS item FROM syslogline UNION ALL SELECT 'program', program FROM syslogline)
 SELECT field, item FROM v WHERE item IS NOT NULL GROUP BY field, item
 HAVING count(*) >= 0.005 * (SELECT count(*) FROM syslogline)"""
+P3_COUNTS = P3.replace("SELECT field, item FROM v", "SELECT field, item, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM syslogline) AS share FROM v")
 
 
 _CANON = "replace(replace(replace(lower(upper(message)), 'ß', 'ss'), 'µ', 'μ'), 'ς', 'σ')"
@@ -123,6 +130,10 @@ marked AS (SELECT *, (m IS DISTINCT FROM lag(m) OVER w)::INT AS fresh FROM alike
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY logsource, program ORDER BY t, seq, line_id ROWS UNBOUNDED PRECEDING) AS run FROM marked)
 SELECT first(line_id ORDER BY t, seq, line_id) AS first_line_id, last(line_id ORDER BY t, seq, line_id) AS last_line_id
 FROM numbered GROUP BY logsource, program, run HAVING count(*) >= 3"""
+P1_RUNS = P1.split("SELECT first(line_id")[0] + """
+SELECT logsource, program, first(line_id ORDER BY t, seq, line_id) AS first_id, last(line_id ORDER BY t, seq, line_id) AS last_id, epoch_us(min(t)) AS first_us, epoch_us(max(t)) AS last_us,
+       count(*) AS n_events, (epoch_us(max(t)) - epoch_us(min(t))) / 1e6::DOUBLE AS duration_s
+FROM numbered GROUP BY logsource, program, run"""
 
 P10 = """
 WITH spans AS (SELECT DISTINCT doc_id, hash(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200))
@@ -141,4 +152,4 @@ SELECT doc_id, rep FROM known WHERE n > 1"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p3_found": P3, "p10_found": P10, "p10_shares": P10_SHARES, "p10_classes": P10_CLASSES}
+    return {"p1_found": P1, "p1_runs": P1_RUNS, "p3_found": P3, "p3_counts": P3_COUNTS, "p10_found": P10, "p10_shares": P10_SHARES, "p10_classes": P10_CLASSES}
