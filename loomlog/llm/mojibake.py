@@ -255,7 +255,7 @@ class Patterns:
                 for follow in range(0x80, 0xC0):
                     seen = misread(bytes([lead, follow]), name)
                     if "\ufffd" not in seen:
-                        self.automaton.add_word(seen, len(seen))
+                        self.automaton.add_word(_quads(seen), len(seen))
         self.automaton.make_automaton()
         self.known: dict[tuple[str, bool], tuple[str, str] | None] = {}
 
@@ -302,9 +302,9 @@ class Patterns:
                 spans.append((m.start(), m.end(), plain))
                 found.append(pair)
         held = list(spans)
-        for end, size in self.automaton.iter(text):
-            end += 1
-            if end <= done or any(s < end and end - size < e for s, e, _ in held):
+        for end, size in self.automaton.iter(_quads(text)):
+            end, off = divmod(end + 1, 4)
+            if off or end <= done or any(s < end and end - size < e for s, e, _ in held):
                 continue
             start, stop = end - size, end
             while start > done and _joins(text[start - 1]):
@@ -315,7 +315,7 @@ class Patterns:
             if undone:
                 spans.append((start, stop, undone[0]))
                 found.append(undone[1])
-                done = stop
+            done = stop  # a run is judged once, however many sequences it holds
         spans += self._same_pair(text, spans, found, others or {})
         lost = "\ufffd" in text
         if lost:
@@ -330,6 +330,11 @@ class Patterns:
         return None if lost else "".join(out) + text[at:], sorted(set(found))
 
 
+def _quads(text: str) -> str:
+    """Four symbols below 256 for each character, as an automaton looks through the branches of a node one by one."""
+    return text.encode("utf-32-be", "surrogatepass").decode("latin-1")
+
+
 def _joins(c: str) -> bool:
     return c > "\x7f" or "a" <= c <= "z" or "A" <= c <= "Z"
 

@@ -49,9 +49,8 @@ def corpus(seed, n=40):
     return docs
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_results_at_every_hot(spark, seed):
-    docs = corpus(seed)
+def test_results_at_every_hot(spark):
+    docs = corpus(1)
     df = clashing(spark.createDataFrame(docs, "doc_id long, text string"))
     passages = []
     for hot in (2, 100, 1 << 40):
@@ -168,11 +167,11 @@ def test_passages_do_not_depend_on_group_size(spark):
     r = random.Random(11)
     text = lambda k: "".join(r.choice("abcdefghij ") for _ in range(k))
     passage, other = text(260), text(230)
-    docs = [(i, text(r.randrange(0, 300)) + passage + text(i % 5) + (other if i % 40 == 0 else text(40))) for i in range(110)]
-    passages = lambda rows: sorted((x["a"], x["b"], x["start_a"], x["end_a"], x["start_b"], x["end_b"], x["verbatim"]) for x in spans.SharedSpans(spark.createDataFrame(rows, "doc_id long, text string")).passages.collect())
+    docs = [(i, text(r.randrange(0, 300)) + passage + text(i % 5) + (other if i % 20 == 0 else text(40))) for i in range(44)]
+    passages = lambda rows: sorted((x["a"], x["b"], x["start_a"], x["end_a"], x["start_b"], x["end_b"], x["verbatim"]) for x in spans.SharedSpans(spark.createDataFrame(rows, "doc_id long, text string"), hot=30).passages.collect())
     found = passages(docs)
     assert {x[:2] for x in found} == brute(docs, 200)
     assert all(x[6] >= 260 for x in found)
-    for few in (docs[:3], docs[79:82], [docs[0], docs[40], docs[80], docs[109]]):
+    for few in (docs[:3], [docs[0], docs[20], docs[40], docs[43]]):
         ids = {d for d, _ in few}
         assert passages(few) == [x for x in found if x[0] in ids and x[1] in ids]
