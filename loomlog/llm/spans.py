@@ -12,14 +12,13 @@ For passages the chains also take matches of k code points, and the gaps inside
 subsequence), which gives fuzzy passages with their share of equal code points around verbatim spans.
 
 Exact copies of a text stand for one class: seeds, pairs and passages are those of the class's lowest id, and
-members are added at the end.  Seeds in more than ``hot`` texts are not paired text by text: the windows around them that two
-texts share are joined into segments, equal segments are one class, and classes are paired, chained and aligned once, whatever
-the number of texts that hold them.  Both ways are exact, so results don't depend on ``hot``.
+members are added at the end.  Seeds in more than ``hot`` texts are not compared text by text: of the windows around them that two
+texts share, one stands for all that the same texts hold; two of its holders are chained and aligned, and stand for every two,
+as all hold the same text.  Both ways are exact, so results don't depend on ``hot``.
 
 Defined cases: null, empty and short texts have no span; a text shared with itself is no case; rows that
 repeat a document id are pieces of one document; positions are code points from 0; columns other than id and text play no part.
-Texts are compared wherever pairs are made; that members of one segment class hold the same text rests on 128-bit digests of 64-bit
-window hashes.
+Pairs rest on compared texts or, around hot seeds, on 128-bit digests of them; shared code points around hot seeds on 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -40,7 +39,7 @@ from ..session import broadcast_if_bounded, cut
 #: Shorter seeds are chosen more sparsely (of every ``min_length - K + 1``), but boilerplate makes more chance matches.
 K = 100
 MIN_LENGTH = 200
-#: Texts that hold one seed beyond which its windows are keyed and paired by classes; it changes the cost and not the result.
+#: Texts that hold one seed beyond which pairs come from its windows; it changes the cost and not the result.
 HOT = 100
 #: Most code points that a chain may skip between two matches.
 MOST_GAP = 1000
@@ -387,13 +386,23 @@ def _hot_windows(docs: DataFrame, hot: DataFrame, min_length: int, k: int) -> Da
     return spots.join(docs.select("doc_id", "text"), "doc_id").mapInPandas(run, "h long, doc_id long, at int")
 
 
-def _segments(windows: DataFrame) -> DataFrame:
-    """``doc_id``, ``at``, ``n``, ``hs``, ``sig``: runs of consecutive shared windows; equal ones have the same digest."""
-    once = windows.select("h", "doc_id", "at").distinct()
-    place = F.col("at") - F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "h"))
-    runs = once.withColumn("run", place).groupBy("doc_id", "run").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("at", "h"))).alias("all"))
-    hs = F.transform("all", lambda x: x["h"])
-    return runs.select("doc_id", "at", "n", hs.alias("hs"), F.md5(F.array_join(F.transform(hs, lambda x: x.cast("string")), ",")).alias("sig"))
+def _stretches(windows: DataFrame) -> DataFrame:
+    """``doc_id``, ``at``, ``n``: runs of consecutive windows."""
+    once = windows.select("doc_id", "at").distinct()
+    run = F.col("at") - F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))
+    return once.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("n")).drop("run")
+
+
+def _holders(windows: DataFrame, docs: DataFrame, min_length: int) -> DataFrame:
+    """``key``, ``doc_id``, ``at``: which texts hold a window, by its own text, for one window of each set of holders.
+
+    Neighbouring windows mostly have the same holders, so the sets are told apart by two digests that don't depend on
+    order, and one window stands for all that the same texts hold."""
+    once = windows.groupBy("h", "doc_id").agg(F.min("at").alias("at"))
+    digest = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "doc_id"))
+    sets = once.groupBy("h").agg(F.count("*").alias("n"), digest(1).alias("x"), digest(2).alias("y")).groupBy("n", "x", "y").agg(F.min("h").alias("h"))
+    held = once.join(sets.select("h"), "h").join(docs.select("doc_id", "text"), "doc_id")
+    return held.select(F.md5(F.substring("text", F.col("at") + 1, F.lit(min_length)).cast("binary")).alias("key"), "doc_id", "at").distinct()
 
 
 def _by_class(docs: DataFrame) -> DataFrame:
@@ -424,13 +433,17 @@ class SharedSpans:
         return self.docs.join(broadcast_if_bounded(needed, MAX_BROADCAST_IDS), "doc_id", "left_semi")
 
     @cached_property
-    def segments(self) -> DataFrame:
-        """Shared text around hot seeds: ``sig``, ``doc_id``, ``at``, ``n`` (windows) and the windows' hashes."""
+    def windows(self) -> DataFrame:
+        """``h``, ``doc_id``, ``at`` of the windows around hot seeds that another text has too."""
         busy = self.matched.where(F.col("n") > self.hot)
-        windows = cut(_hot_windows(self._texts(busy.select("doc_id").distinct()), busy, self.min_length, self.k))
-        # a window that two texts share is itself an exact span
-        shared = windows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-        return cut(_segments(windows.join(shared.select("h"), "h")))
+        found = cut(_hot_windows(self._texts(busy.select("doc_id").distinct()), busy, self.min_length, self.k))
+        shared = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+        return cut(found.join(shared.select("h"), "h"))
+
+    @cached_property
+    def holders(self) -> DataFrame:
+        """``key``, ``doc_id``, ``at``: the texts that hold each of the windows that stand for all hot ones."""
+        return cut(_holders(self.windows, self._texts(self.windows.select("doc_id").distinct()), self.min_length))
 
     def _seed_pairs(self) -> DataFrame:
         """Pairs of texts that share a seed which is not hot, with the regions around their seeds."""
@@ -441,22 +454,17 @@ class SharedSpans:
         region = lambda who: _regions(F.col(f"at_{who}"), *self.reach, sum(self.reach)).alias(f"regions_{who}")
         return met.select("a", "b", F.lit(None).cast("string").alias("s"), F.lit(None).cast("string").alias("t"), region("a"), region("b"))
 
-    def _segment_pairs(self) -> DataFrame:
-        """Pairs of segment classes that share a window, with a text of each (two of a class by itself)."""
-        spot = F.struct("doc_id", "at", "n")
-        kinds = self.segments.groupBy("sig").agg(F.min(spot).alias("one"), F.max(spot).alias("other"), F.min_by("hs", spot).alias("hs"))
-        held = kinds.select("sig", F.explode(F.array_distinct("hs")).alias("h"))
-        met = held.withColumnRenamed("sig", "s").join(held.withColumnRenamed("sig", "t"), "h").where("s < t").select("s", "t").distinct()
-        met = met.union(kinds.where("one.doc_id < other.doc_id").select("sig", "sig"))
-        sides = met.join(kinds.select(F.col("sig").alias("s"), F.col("one").alias("x")), "s").join(kinds.select(F.col("sig").alias("t"), F.col("one"), F.col("other")), "t")
-        sides = sides.withColumn("y", F.when(F.col("s") == F.col("t"), F.col("other")).otherwise(F.col("one")))
-        region = lambda who: F.array(F.struct(F.col(f"{who}.at").alias("at"), (F.col(f"{who}.at") + F.col(f"{who}.n").cast("int") + self.min_length - 1).alias("to")))
-        return sides.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), "s", "t", region("x").alias("regions_a"), region("y").alias("regions_b"))
+    def _window_pairs(self) -> DataFrame:
+        """For each hot window two texts that hold it."""
+        spot = F.struct("doc_id", "at")
+        kinds = self.holders.groupBy("key").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x.doc_id < y.doc_id")
+        region = lambda who: F.array(F.struct(F.col(f"{who}.at").alias("at"), (F.col(f"{who}.at") + self.min_length).alias("to")))
+        return kinds.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("key").alias("s"), F.col("key").alias("t"), region("x").alias("regions_a"), region("y").alias("regions_b"))
 
     @cached_property
     def aligned(self) -> DataFrame:
-        """Chained and aligned pairs: of texts (``s``, ``t`` null), and of segment classes by a text of each."""
-        pairs = cut(self._seed_pairs().union(self._segment_pairs()))
+        """Chained and aligned pairs: of texts (``s`` null), and two of the texts that hold a hot window for all of them."""
+        pairs = cut(self._seed_pairs().union(self._window_pairs()))
         # only texts in a pair are read again
         needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         return cut(_align(pairs, self._texts(needed), self.min_length))
@@ -464,9 +472,8 @@ class SharedSpans:
     @cached_property
     def representative_pairs(self) -> DataFrame:
         """``a`` < ``b``: pairs between lowest ids of copies; together with ``classes`` the form for scale."""
-        members = self.segments.select("sig", "doc_id").distinct()
-        side = lambda key, who: members.select(F.col("sig").alias(key), F.col("doc_id").alias(who))
-        wide = self.aligned.where("s is not null").select("s", "t").join(side("s", "x"), "s").join(side("t", "y"), "t").where("x <> y")
+        side = lambda who: self.holders.select(F.col("key").alias("s"), F.col("doc_id").alias(who)).distinct()
+        wide = self.aligned.where("s is not null").select("s").join(side("x"), "s").join(side("y"), "s").where("x < y")
         both = wide.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         return cut(self.aligned.where("s is null").select("a", "b").union(both).distinct())
 
@@ -508,7 +515,7 @@ class SharedSpans:
         """Of each document with shared text: ``n_chars``, ``shared_chars``, ``share``.  One row for each, copies too."""
         texts = self.aligned.where("s is null")
         side = lambda who: texts.select(F.col(who).alias("doc_id"), F.explode(f"of_{who}").alias("x")).select("doc_id", F.col(f"x.{who}").alias("start"), (F.col(f"x.{who}") + F.col("x.n")).alias("end"))
-        hot = self.segments.select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("n") + self.min_length - 1).cast("int").alias("end"))
+        hot = _stretches(self.windows).select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("n") + self.min_length - 1).cast("int").alias("end"))
         found = side("a").union(side("b")).union(hot)
         merged = found.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("all"))
         covered = F.aggregate("all", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda x, s: F.struct((x["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(x["to"], s["start"]))).alias("n"), F.greatest(x["to"], s["end"]).alias("to")))
